@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitefacts.functions.regex import first, strip
+from sitefacts.functions.regex import first, let, strip
 
 NODE_SCHEMA = (
     "array<struct<id:int,end:int,parent:int,tag:string,attrs:map<string,string>,text:string>>"
@@ -129,10 +129,14 @@ def raw_text(nodes: Column) -> Column:
 
 def only_string(nodes: Column, node: Column) -> Column:
     """The string of an element that holds exactly one string down a chain of only children."""
+
+    def only(below: Column) -> Column:
+        is_chain = F.size(F.array_distinct(F.transform(below, lambda n: n["parent"]))) == F.size(below)
+        last = F.try_element_at(below, F.lit(-1))
+        return F.when(is_chain & last["tag"].startswith("#"), last["text"])
+
     below = F.filter(inside(nodes, node), lambda n: ~n["tag"].isin(*REMOVED) & (n["tag"] != "#raw"))
-    is_chain = F.size(F.array_distinct(F.transform(below, lambda n: n["parent"]))) == F.size(below)
-    last = F.element_at(below, -1)
-    return F.when((F.size(below) > 0) & is_chain & last["tag"].startswith("#"), last["text"])
+    return let(below, only)
 
 
 def links_by_text(nodes: Column, pattern: str) -> Column:

@@ -36,17 +36,26 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(path, r";[^/]*$", "")
 
 
-def _tail(url: Column) -> Column:
-    """Parameters of the last segment, query and fragment; empty ``?`` and ``#`` are dropped."""
-    c = _clean(url)
-    params = F.regexp_extract(F.regexp_extract(c, _HEAD + r"([^?#]*)", 1), r";([^/]*)$", 1)
-    query = F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(c, r"^[^#]*#(?s:(.*))$", 1)
-    return F.concat(
-        F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
+def split_url(url: Column) -> Column:
+    """All parts of a URL in one struct: ``raw, scheme, host, path, params, query, fragment``."""
+
+    def parts(c: Column) -> Column:
+        path = F.regexp_extract(c, _HEAD + r"([^?#]*)", 1)
+        return F.struct(
+            c.alias("raw"),
+            F.lower(F.regexp_extract(c, _SCHEME, 1)).alias("scheme"),
+            F.regexp_extract(c, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1).alias("host"),
+            F.regexp_replace(path, r";[^/]*$", "").alias("path"),
+            F.regexp_extract(path, r";([^/]*)$", 1).alias("params"),
+            F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+            F.regexp_extract(c, r"^[^#]*#(?s:(.*))$", 1).alias("fragment"),
+        )
+
+    return let(_clean(url), parts)
+
+
+def _after(mark: str, part: Column) -> Column:
+    return F.when(part != "", F.concat(F.lit(mark), part)).otherwise("")
 
 
 def canonical_url(url: Column) -> Column:
@@ -77,38 +86,61 @@ def _drop_dot_segments(path: Column) -> Column:
     return F.array_join(F.coalesce(closed, kept), "/")
 
 
-def resolve_url(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on ``base`` (an http or https URL)."""
-    ref_scheme, ref_host, ref_path = url_scheme(href), url_host(href), url_path(href)
-    base_scheme, base_host, base_path = url_scheme(base), url_host(base), url_path(base)
-    origin = F.concat(base_scheme, F.lit("://"), base_host)
-
-    # A relative path continues after the last slash of the base; empty inner segments vanish.
-    folder = F.regexp_extract(base_path, r"^(.*/)[^/]*$", 1)
-    joined = F.concat(F.when(folder == "", "/").otherwise(folder), ref_path)
-    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(F.regexp_replace(joined, "//+", "/"))
-    walked = let(
-        merged,
-        lambda p: F.when(p.rlike(r"(?:^|/)\.\.?(?:/|$)"), _drop_dot_segments(p)).otherwise(p),
-    )
-    no_path = (ref_path == "") & ~_tail(href).startswith(";")
-    own_query = F.regexp_extract(_clean(href), r"^[^?#]*\?([^#]+)", 1) != ""
-    base_query = F.regexp_extract(_clean(base), r"^[^?#]*\?([^#]*)", 1)
-    same_page = F.concat(
-        origin,
-        base_path,
-        F.when(~own_query & (base_query != ""), F.concat(F.lit("?"), base_query)).otherwise(""),
-        _tail(href),
-    )
-    return (
-        F.when(F.coalesce(href, F.lit("")) == "", base)
-        .when((ref_scheme != "") & (ref_scheme != base_scheme), href)
-        .when(ref_host != "", F.concat(base_scheme, F.lit("://"), ref_host, ref_path, _tail(href)))
-        .when(no_path, same_page)
-        .otherwise(F.concat(origin, F.regexp_replace(walked, r"^(?!/)", "/"), _tail(href)))
+def resolve_parts(base: Column, href: Column) -> Column:
+    """Parts of a link found on a page whose URL parts are ``base`` (an http or https URL).
+
+    ``raw`` is set only where the link stays as written: another scheme, or an empty link.
+    """
+
+    def resolve(ref: Column) -> Column:
+        foreign = (ref["scheme"] != "") & (ref["scheme"] != base["scheme"])
+        own_host = foreign | (ref["host"] != "")
+        no_path = (ref["path"] == "") & (ref["params"] == "")
+        # A relative path continues after the last slash of the base; empty inner segments vanish.
+        folder = F.regexp_extract(base["path"], r"^(?:/|(.*/)[^/]*)$", 1)
+        joined = F.concat(F.when(folder == "", "/").otherwise(folder), ref["path"])
+        merged = F.when(ref["path"].startswith("/"), ref["path"]).otherwise(
+            F.regexp_replace(joined, "//+", "/")
+        )
+        walked = let(
+            merged,
+            lambda p: F.when(p.rlike(r"(?:^|/)\.\.?(?:/|$)"), _drop_dot_segments(p)).otherwise(p),
+        )
+        path = (
+            F.when(own_host, ref["path"])
+            .when(no_path, base["path"])
+            .otherwise(F.regexp_replace(walked, r"^(?!/)", "/"))
+        )
+        inherits = ~own_host & no_path & (ref["query"] == "")
+        return F.struct(
+            F.when(ref["raw"] == "", base["raw"]).when(foreign, href).alias("raw"),
+            F.when(foreign, ref["scheme"]).otherwise(base["scheme"]).alias("scheme"),
+            F.when(own_host, ref["host"]).otherwise(base["host"]).alias("host"),
+            path.alias("path"),
+            ref["params"].alias("params"),
+            F.when(inherits, base["query"]).otherwise(ref["query"]).alias("query"),
+            ref["fragment"].alias("fragment"),
+        )
+
+    return let(split_url(F.coalesce(href, F.lit(""))), resolve)
+
+
+def join_url(parts: Column) -> Column:
+    """URL text of resolved parts."""
+    return F.coalesce(
+        parts["raw"],
+        F.concat(
+            parts["scheme"], F.lit("://"), parts["host"], parts["path"],
+            _after(";", parts["params"]), _after("?", parts["query"]), _after("#", parts["fragment"]),
+        ),
     )
 
 
+def resolve_url(base: Column, href: Column) -> Column:
+    """Absolute form of a link found on the page ``base``."""
+    return let(split_url(base), lambda b: let(resolve_parts(b, href), join_url))
+
+
 def domain_name(url: Column) -> Column:
     """First host label without ``www.``, capitalised; null when empty."""
     label = F.regexp_extract(F.regexp_replace(url_host(url), r"^www\.", ""), r"^([^.]*)", 1)

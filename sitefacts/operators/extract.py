@@ -5,6 +5,8 @@ Nothing here moves a row: a page's facts need that page only.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from sitefacts.functions.regex import (
     any_of, collapse, contains_any, empty_strings, first, jvm, len_between, let, strip,
 )
 from sitefacts.functions.urls import (
-    domain_name, is_tracking_url, resolve_url, url_host, url_path, without_port,
+    domain_name, is_tracking_url, join_url, resolve_parts, resolve_url, split_url, url_host,
+    url_path, without_port,
 )
 from sitefacts.operators.links import page_links
 from sitefacts.operators.login import login_required, login_signals
@@ -112,6 +115,10 @@ def name_from_domain_or_logo(domain: Column, logo: Column) -> Column:
 
 def company_name(nodes: Column, url: Column, cfg: ExtractConfig = DEFAULT) -> Column:
     domain = F.nullif(domain_name(url), F.lit(""))
+    return let(domain, lambda d: _company_name(nodes, d, cfg))
+
+
+def _company_name(nodes: Column, domain: Column, cfg: ExtractConfig) -> Column:
     title = N.first_node(nodes, N.tag_is("title"))
     h1s = F.slice(N.find_nodes(nodes, N.tag_is("h1")), 1, 3)
     logos = N.find_nodes(nodes, N.tag_is("img"), N.attr_like("alt", C.LOGO_ALT))
@@ -213,11 +220,17 @@ def social_links(links: Column, site_url: Column, cfg: ExtractConfig = DEFAULT)
         lambda n: F.lower(N.attr(n, "href")).rlike(every_domain)
         | F.lower(url_host(site_url)).rlike(every_domain),
     )
-    resolved = F.transform(mentioned, lambda n: resolve_url(site_url, N.attr(n, "href")))
-    usable = F.transform(
-        F.filter(resolved, lambda u: ~is_tracking_url(u)),
-        lambda u: F.struct(u.alias("url"), url_host(u).alias("host")),
+    resolved = let(
+        split_url(site_url),
+        lambda base: F.transform(
+            mentioned,
+            lambda n: let(
+                resolve_parts(base, N.attr(n, "href")),
+                lambda link: F.struct(join_url(link).alias("url"), link["host"].alias("host")),
+            ),
+        ),
     )
+    usable = F.filter(resolved, lambda u: ~is_tracking_url(u["url"]))
     platforms = [p for p, _ in cfg.social_domains]
     none = F.struct(*[F.lit(None).cast("string").alias(p) for p in platforms])
 
@@ -233,9 +246,7 @@ def social_links(links: Column, site_url: Column, cfg: ExtractConfig = DEFAULT)
         entries = [F.struct(F.lit(p).alias("key"), found[p].alias("value")) for p in platforms]
         return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
-    return F.when(
-        F.size(usable) > 0, let(F.aggregate(usable, none, take), to_map)
-    ).otherwise(F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))
+    return let(F.aggregate(usable, none, take), to_map)
 
 
 def key_pages(url: Column) -> Column:
@@ -454,43 +465,47 @@ def structured_pages(parsed: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
+def _fact_columns(cfg: ExtractConfig, application: str) -> dict[str, Column]:
+    """The extractors bound to the shared columns, built once per session and setting.
+
+    A column is only an unresolved expression, so the same objects serve every page table; building
+    them takes some seconds of round trips to the JVM.
+    """
+    nodes, marked, text = F.col("nodes"), F.col("marked"), F.col("text")
+    anchors, url = F.col("anchors"), F.col("url")
+    labels, footer = F.col("key_pages"), F.col("footer")
+    return {
+        "links": page_links(anchors, url, F.col("site"), cfg),
+        "company_name": company_name(nodes, url, cfg),
+        "tagline": tagline(nodes, marked, cfg),
+        "what_they_do": what_they_do(nodes, marked, cfg),
+        "offerings": primary_offerings(nodes, marked),
+        "targets": target_customers(nodes, marked, text, cfg),
+        "proof": proof_signals(nodes, marked, text),
+        "social": social_links(anchors, F.col("site_url"), cfg),
+        "emails": F.array_distinct(F.concat(footer["emails"], extract_emails(anchors, text, cfg))),
+        "phones": F.array_distinct(F.concat(footer["phones"], extract_phones(anchors, text, cfg))),
+        "address": physical_address(nodes, marked, text, cfg),
+        "contact_page": contact_page(nodes, url, labels),
+        "careers_page": careers_page(url, labels),
+        "roles": F.when(
+            F.array_contains(labels, "careers"), roles_departments(nodes, marked, text, cfg)
+        ).otherwise(empty_strings()),
+    }
+
+
 def page_facts(parsed: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     """All facts of every parsed page plus its login verdict and its links; one narrow stage.
 
     Needs ``site``, ``site_url``, ``url``, ``headers`` and ``nodes``. Name and tagline are
     extracted on every page; which pages may supply them depends on the visit (see ``fold``).
     """
-    nodes, marked, text = F.col("nodes"), F.col("marked"), F.col("text")
-    anchors, url = F.col("anchors"), F.col("url")
-    base = structured_pages(parsed).withColumn("key_pages", key_pages(url))
-    labels = F.col("key_pages")
-    footer = F.col("footer")
+    application = parsed.sparkSession.sparkContext.applicationId
+    base = structured_pages(parsed).withColumn("key_pages", key_pages(F.col("url")))
     return (
         login_signals(base, cfg)
-        .withColumns({"login": login_required(), "footer": footer_contacts(nodes, cfg)})
-        .withColumns(
-            {
-                "links": page_links(anchors, url, F.col("site"), cfg),
-                "company_name": company_name(nodes, url, cfg),
-                "tagline": tagline(nodes, marked, cfg),
-                "what_they_do": what_they_do(nodes, marked, cfg),
-                "offerings": primary_offerings(nodes, marked),
-                "targets": target_customers(nodes, marked, text, cfg),
-                "proof": proof_signals(nodes, marked, text),
-                "social": social_links(anchors, F.col("site_url"), cfg),
-                "emails": F.array_distinct(
-                    F.concat(footer["emails"], extract_emails(anchors, text, cfg))
-                ),
-                "phones": F.array_distinct(
-                    F.concat(footer["phones"], extract_phones(anchors, text, cfg))
-                ),
-                "address": physical_address(nodes, marked, text, cfg),
-                "contact_page": contact_page(nodes, url, labels),
-                "careers_page": careers_page(url, labels),
-                "roles": F.when(
-                    F.array_contains(labels, "careers"), roles_departments(nodes, marked, text, cfg)
-                ).otherwise(empty_strings()),
-            }
-        )
+        .withColumns({"login": login_required(), "footer": footer_contacts(F.col("nodes"), cfg)})
+        .withColumns(_fact_columns(cfg, application))
         .drop("nodes", "marked", "anchors", "text", "footer")
     )

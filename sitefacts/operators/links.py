@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitefacts.config import ExtractConfig
 from sitefacts.functions import nodes as N
 from sitefacts.functions.regex import any_of, let
-from sitefacts.functions.urls import canonical_url, resolve_url, url_host, url_path, url_scheme
+from sitefacts.functions.urls import resolve_parts, split_url, url_path
 
 DEFAULT = ExtractConfig()
 
@@ -18,17 +18,17 @@ def is_priority(url: Column, cfg: ExtractConfig = DEFAULT) -> Column:
 
 
 def internal_url(link: Column, site: Column, cfg: ExtractConfig = DEFAULT) -> Column:
-    """Canonical form of a resolved link inside the site, null for any other link.
+    """Canonical form of a link inside the site from its resolved parts, null for any other link.
 
     A link without a host (``mailto:`` and the like) is not a page; under ``compat`` it counts as
     internal and takes up a slot, as a URL that no page has.
     """
-    inside = F.when(url_host(link) == site, canonical_url(link))
-    if not cfg.compat:
-        return F.when(url_scheme(link).isin("http", "https"), inside)
-    path = F.regexp_replace(url_path(link), r"^(?!/)", "/")
-    hostless = F.concat(url_scheme(link), F.lit("://"), site, path)
-    return F.coalesce(inside, F.when(url_host(link) == "", hostless))
+    rooted = F.concat(
+        link["scheme"], F.lit("://"), site, F.regexp_replace(link["path"], r"^(?!/)", "/")
+    )
+    if cfg.compat:
+        return F.when((link["host"] == site) | (link["host"] == ""), rooted)
+    return F.when((link["host"] == site) & link["scheme"].isin("http", "https"), rooted)
 
 
 def prioritize_links(links: Column, cfg: ExtractConfig = DEFAULT) -> Column:
@@ -51,23 +51,29 @@ def page_links(anchors: Column, url: Column, site: Column, cfg: ExtractConfig =
     Only the first ``cfg.link_bound`` are kept: a visit follows ``links_per_page`` links that are
     not visited yet and never more than ``max_pages`` are, so no later link can be followed.
     """
-    resolved = F.transform(anchors, lambda n: resolve_url(url, N.attr(n, "href")))
-    internal = F.transform(resolved, lambda u: internal_url(u, site, cfg))
+    internal = let(
+        split_url(url),
+        lambda base: F.transform(
+            anchors,
+            lambda n: let(
+                resolve_parts(base, N.attr(n, "href")), lambda link: internal_url(link, site, cfg)
+            ),
+        ),
+    )
     distinct = F.array_distinct(F.filter(internal, lambda u: u.isNotNull()))
     return F.slice(prioritize_links(distinct, cfg), 1, cfg.link_bound)
 
 
 def link_table(pages: DataFrame) -> DataFrame:
-    """One row per link: ``site, src_url, pos, href, link`` (the resolved form)."""
-    return pages.select(
-        "site", F.col("url").alias("src_url"), F.posexplode("anchors").alias("pos", "anchor")
-    ).select(
+    """One row per link: ``site, src_url, pos, href, link`` with the resolved parts in ``link``."""
+    rows = pages.select(
         "site",
-        "src_url",
-        "pos",
-        N.attr(F.col("anchor"), "href").alias("href"),
-        resolve_url(F.col("src_url"), N.attr(F.col("anchor"), "href")).alias("link"),
-    )
+        F.col("url").alias("src_url"),
+        split_url(F.col("url")).alias("base"),
+        F.posexplode("anchors").alias("pos", "anchor"),
+    ).withColumn("href", N.attr(F.col("anchor"), "href"))
+    link = resolve_parts(F.col("base"), F.col("href")).alias("link")
+    return rows.select("site", "src_url", "pos", "href", link)
 
 
 def internal_links(links: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:

@@ -6,11 +6,13 @@ tokenizer, which only numbers the nodes. Everything that looks at them is a colu
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,9 @@ USED_ATTRS = frozenset("class id href alt name content property http-equiv type
 
 ROWS_PER_BATCH = 64
 
+# Send this module's code along with the tasks: workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class NodeCollector(HTMLParser):
     """Numbers elements, texts and comments of one page in document order."""
@@ -190,7 +195,7 @@ def parse_pages(
     Batches are cut to a few rows each, so worker memory follows the page size and not the
     session's Arrow batch length.
     """
-    source = pages.withColumn("__html", F.col("html"))
+    source = pages.withColumn("__html", F.coalesce("html", F.lit("")))
     passed = pages if keep_html else pages.drop("html")
     source = source if keep_html else source.drop("html")
     schema = T.StructType(

@@ -98,13 +98,16 @@ def is_html() -> Column:
 
 def valid_pages(pages: DataFrame) -> DataFrame:
     """Successful HTML responses. Runs before the parser, so nothing else is ever parsed."""
-    return pages.filter(fetch_error().isNull() & is_html() & F.col("html").isNotNull())
+    return pages.filter(fetch_error().isNull() & is_html())
 
 
 def failed_pages(pages: DataFrame) -> DataFrame:
-    """The other pages with ``outcome`` (``error`` or ``skipped``) and the ``note`` to log."""
+    """The other pages with ``outcome`` (``error`` or ``skipped``) and the ``note`` to log.
+
+    Reads no HTML, so the second pass over a corpus costs only its small columns.
+    """
     error = fetch_error()
-    return pages.filter(error.isNotNull() | ~is_html() | F.col("html").isNull()).select(
+    return pages.filter(error.isNotNull() | ~is_html()).select(
         "page_id",
         "site",
         "url",
