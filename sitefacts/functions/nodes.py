@@ -10,11 +10,19 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitefacts.functions.regex import first, let, strip
 
-NODE_SCHEMA = (
-    "array<struct<id:int,end:int,parent:int,tag:string,attrs:map<string,string>,text:string>>"
+NODE_TYPE = T.StructType(
+    [
+        T.StructField("id", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+        T.StructField("parent", T.IntegerType()),
+        T.StructField("tag", T.StringType()),
+        T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("text", T.StringType()),
+    ]
 )
 REMOVED = ("script", "style", "meta", "link")
 

@@ -20,7 +20,7 @@ def email_matches(text: Column, skip: Sequence[str], unicode: bool = True) -> Co
     """
     tokens = F.filter(F.split(text, jvm(r"\s+")), lambda t: t.contains("@"))
     found = F.flatten(F.transform(tokens, lambda t: find_all(t, jvm(C.EMAIL_PATTERN, unicode))))
-    kept = F.filter(found, lambda e: ~contains_any(e, skip))
+    kept = F.filter(found, lambda e: ~contains_any(e, skip)) if skip else found
     return F.when(text.contains("@"), kept).otherwise(empty_strings())
 
 

@@ -66,12 +66,14 @@ def page_links(anchors: Column, url: Column, site: Column, cfg: ExtractConfig =
 
 def link_table(pages: DataFrame) -> DataFrame:
     """One row per link: ``site, src_url, pos, href, link`` with the resolved parts in ``link``."""
-    rows = pages.select(
-        "site",
-        F.col("url").alias("src_url"),
-        split_url(F.col("url")).alias("base"),
-        F.posexplode("anchors").alias("pos", "anchor"),
-    ).withColumn("href", N.attr(F.col("anchor"), "href"))
+    rows = (
+        pages.withColumn("base", split_url(F.col("url")))
+        .select(
+            "site", F.col("url").alias("src_url"), "base",
+            F.posexplode("anchors").alias("pos", "anchor"),
+        )
+        .withColumn("href", N.attr(F.col("anchor"), "href"))
+    )
     link = resolve_parts(F.col("base"), F.col("href")).alias("link")
     return rows.select("site", "src_url", "pos", "href", link)
 

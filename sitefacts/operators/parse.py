@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import UserDefinedTableFunction
 
-from sitefacts.functions.nodes import NODE_SCHEMA
+from sitefacts.functions.nodes import NODE_TYPE
 
 # Elements without content, and elements whose text is not page text.
 VOID = frozenset(
@@ -201,7 +201,7 @@ def parse_pages(
     schema = T.StructType(
         list(passed.schema.fields)
         + [
-            T.StructField("nodes", T._parse_datatype_string(NODE_SCHEMA)),
+            T.StructField("nodes", T.ArrayType(NODE_TYPE)),
             T.StructField("parse_error", T.StringType()),
         ]
     )
@@ -230,10 +230,7 @@ class _DomNodes:
 
 def dom_nodes() -> UserDefinedTableFunction:
     """Table function for lateral joins: one row per node of an HTML string, all attributes kept."""
-    return F.udtf(
-        _DomNodes,
-        returnType="id int, end int, parent int, tag string, attrs map<string,string>, text string",
-    )
+    return F.udtf(_DomNodes, returnType=NODE_TYPE)
 
 
 def exploded_nodes(parsed: DataFrame) -> DataFrame:

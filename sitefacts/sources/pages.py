@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitefacts.functions.urls import canonical_url, normalize_url, url_host
 
@@ -20,7 +19,7 @@ PAGE_COLUMNS = {
     "fetch_error_kind": "string",
     "fetch_error_msg": "string",
 }
-PAGE_SCHEMA = T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in PAGE_COLUMNS.items()))
+PAGE_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in PAGE_COLUMNS.items())
 
 
 def as_pages(df: DataFrame) -> DataFrame:
