@@ -2,9 +2,9 @@
 
 Each site is one small row: the URLs still to try, the pages visited and the log of attempts. A
 round advances every site as far as the pages it has already looked up allow, then looks up the next
-URLs with one join on ``(site, url)``. A hot site weighs no more than any other in that join, since
-the page index is spread by URL, and a site asks for at most ``links_per_page * max_depth`` pages a
-round.
+URLs with one join on ``(site, url)``. A hot site weighs no more than any other in that join: the page
+index is spread by URL, and what a site asks for in a round is bounded by its queue, at most
+``links_per_page * (max_depth + 1)`` URLs and as many links of each.
 """
 
 from __future__ import annotations
@@ -82,6 +82,23 @@ def page_index(facts: DataFrame) -> DataFrame:
     )
 
 
+def _foreseen(state: Column, known: Column, cfg: ExtractConfig) -> Column:
+    """URLs the site may try next: its queue, and the links of queued pages already looked up."""
+    queued = F.transform(state["queue"], lambda s: s["url"])
+    children = F.transform(
+        F.filter(state["queue"], lambda s: s["depth"] < cfg.max_depth),
+        lambda s: F.slice(
+            F.filter(
+                F.coalesce(F.try_element_at(known, s["url"])["links"], F.array().cast("array<string>")),
+                lambda u: ~F.array_contains(state["visited"], u),
+            ),
+            1,
+            cfg.links_per_page,
+        ),
+    )
+    return F.array_distinct(F.concat(queued, F.flatten(children)))
+
+
 def crawl_attempts(
     seeds: DataFrame, index: DataFrame, cfg: ExtractConfig = DEFAULT, order: str = "dfs"
 ) -> DataFrame:
@@ -94,57 +111,53 @@ def crawl_attempts(
     if order not in ("dfs", "bfs"):
         raise ValueError(f"unknown order: {order}")
     no = F.lit(False)
+    absent = F.struct(F.lit("absent"), F.lit(None).cast("array<string>")).cast(_PAGE)
+    no_pages = F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{_PAGE}>>"))
+    # A round answers at least the attempt a site waits for, so the longest walk bounds the rounds.
+    attempts = 1 + cfg.max_pages * cfg.links_per_page
+
+    # The columns of a round, built once.
+    answered = F.map_from_entries(F.collect_list(F.struct("url", F.col("page").cast(_PAGE))))
+    found = F.coalesce("answers", no_pages)
+    missing = F.filter("wanted", lambda u: ~F.map_contains_key(found, u))
+    looked_up = F.map_concat(
+        "known", found, F.map_from_arrays(missing, F.transform(missing, lambda _: absent))
+    )
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(attempts + 1)),
+        F.struct(
+            F.col("state.queue"), F.col("state.visited"), F.col("state.log"),
+            no.alias("done"), no.alias("waiting"),
+        ).cast(_STATE),
+        lambda s, _: _advance(s, F.col("known"), cfg, order),
+    )
+    foreseen = _foreseen(F.col("state"), F.col("known"), cfg)
+    wanted = F.filter("foreseen", lambda u: ~F.map_contains_key("known", u))
+    kept = F.map_filter("known", lambda u, _: F.array_contains("foreseen", u))
+
     start = F.array(F.struct(F.col("url"), F.lit(0)).cast(_STEP))
     nothing = F.array().cast("array<string>")
     state = seeds.select(
         "site",
         _state(start, nothing, F.array().cast(f"array<{_ATTEMPT}>"), no, no).alias("state"),
-        F.lit(None).cast(f"map<string,{_PAGE}>").alias("known"),
-    )
-    absent = F.struct(F.lit("absent"), F.lit(None).cast("array<string>")).cast(_PAGE)
-    no_pages = F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{_PAGE}>>"))
-    # A round answers at least the attempt a site waits for, so the longest walk bounds the rounds.
-    attempts = 1 + cfg.max_pages * cfg.links_per_page
+        no_pages.alias("known"),
+    ).withColumn("wanted", F.transform("state.queue", lambda s: s["url"]))
     finished: list[DataFrame] = []
 
     for _ in range(attempts + 1):
-        known = F.coalesce(F.col("known"), no_pages)
-        wanted = F.filter(
-            F.array_distinct(F.transform(F.col("state.queue"), lambda s: s["url"])),
-            lambda u: ~F.map_contains_key(known, u),
-        )
+        # An inner join: the few requests can be broadcast when Spark measures them as small.
         answers = (
-            state.select("site", F.explode(wanted).alias("url"))
-            .join(index, ["site", "url"], "left")
+            state.select("site", F.explode("wanted").alias("url"))
+            .join(index, ["site", "url"])
             .groupBy("site")
-            .agg(
-                F.map_from_entries(
-                    F.collect_list(F.struct("url", F.coalesce(F.col("page").cast(_PAGE), absent)))
-                ).alias("answers")
-            )
-        )
-        walked = F.aggregate(
-            F.sequence(F.lit(1), F.lit(attempts + 1)),
-            F.struct(
-                F.col("state.queue"), F.col("state.visited"), F.col("state.log"),
-                no.alias("done"), no.alias("waiting"),
-            ).cast(_STATE),
-            lambda s, _: _advance(s, F.col("known"), cfg, order),
+            .agg(answered.alias("answers"))
         )
         state = (
             state.join(answers, "site", "left")
-            .select(
-                "site",
-                "state",
-                F.map_concat(known, F.coalesce("answers", no_pages)).alias("known"),
-            )
-            .withColumn("state", walked)
-            .withColumn("queued", F.transform("state.queue", lambda s: s["url"]))
-            .select(
-                "site",
-                "state",
-                F.map_filter("known", lambda u, _: F.array_contains("queued", u)).alias("known"),
-            )
+            .select("site", "state", looked_up.alias("known"))
+            .select("site", walked.alias("state"), "known")
+            .withColumn("foreseen", foreseen)
+            .select("site", "state", kept.alias("known"), wanted.alias("wanted"))
         )
         state = cut_lineage(state)
         finished.append(state.filter("state.done").select("site", "state.log"))

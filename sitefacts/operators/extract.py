@@ -5,7 +5,7 @@ Nothing here moves a row: a page's facts need that page only.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from sitefacts.functions.urls import (
     url_path, without_port,
 )
 from sitefacts.operators.links import page_links
-from sitefacts.operators.login import login_required, login_signals
+from sitefacts.operators.login import login_columns
 
 SECTION = ("section", "div")
 DEFAULT = ExtractConfig()
@@ -449,20 +449,27 @@ FACTS = (
 )
 
 
-def structured_pages(parsed: DataFrame) -> DataFrame:
-    """Parsed pages with the columns the extractors share: ``text``, ``marked`` and ``anchors``."""
+@lru_cache(maxsize=8)
+def _shared_columns(application: str) -> dict[str, Column]:
     nodes = F.col("nodes")
-    marked = F.filter(
-        nodes,
-        lambda n: F.map_contains_key(n["attrs"], "class") | F.map_contains_key(n["attrs"], "id"),
-    )
-    return parsed.withColumns(
-        {
-            "text": node_page_text(nodes),
-            "marked": marked,
-            "anchors": N.find_nodes(nodes, N.tag_is("a"), N.has_attr("href")),
-        }
-    )
+    return {
+        "text": node_page_text(nodes),
+        "marked": F.filter(
+            nodes,
+            lambda n: F.map_contains_key(n["attrs"], "class") | F.map_contains_key(n["attrs"], "id"),
+        ),
+        "anchors": N.find_nodes(nodes, N.tag_is("a"), N.has_attr("href")),
+        "key_pages": key_pages(F.col("url")),
+    }
+
+
+def structured_pages(parsed: DataFrame) -> DataFrame:
+    """Parsed pages with the columns the extractors share: ``text``, ``marked``, ``anchors``, ``key_pages``."""
+    return parsed.withColumns(_shared_columns(_application(parsed)))
+
+
+def _application(df: DataFrame) -> str:
+    return df.sparkSession.sparkContext.applicationId
 
 
 @lru_cache(maxsize=8)
@@ -475,7 +482,9 @@ def _fact_columns(cfg: ExtractConfig, application: str) -> dict[str, Column]:
     nodes, marked, text = F.col("nodes"), F.col("marked"), F.col("text")
     anchors, url = F.col("anchors"), F.col("url")
     labels, footer = F.col("key_pages"), F.col("footer")
+    flags = list(login_columns(cfg).values())
     return {
+        "login": reduce(lambda a, b: a | b, flags),
         "links": page_links(anchors, url, F.col("site"), cfg),
         "company_name": company_name(nodes, url, cfg),
         "tagline": tagline(nodes, marked, cfg),
@@ -495,17 +504,24 @@ def _fact_columns(cfg: ExtractConfig, application: str) -> dict[str, Column]:
     }
 
 
+@lru_cache(maxsize=8)
+def _footer_column(cfg: ExtractConfig, application: str) -> dict[str, Column]:
+    return {"footer": footer_contacts(F.col("nodes"), cfg)}
+
+
 def page_facts(parsed: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     """All facts of every parsed page plus its login verdict and its links; one narrow stage.
 
     Needs ``site``, ``site_url``, ``url``, ``headers`` and ``nodes``. Name and tagline are
     extracted on every page; which pages may supply them depends on the visit (see ``fold``).
     """
-    application = parsed.sparkSession.sparkContext.applicationId
-    base = structured_pages(parsed).withColumn("key_pages", key_pages(F.col("url")))
+    application = _application(parsed)
     return (
-        login_signals(base, cfg)
-        .withColumns({"login": login_required(), "footer": footer_contacts(F.col("nodes"), cfg)})
-        .withColumns(_fact_columns(cfg, application))
-        .drop("nodes", "marked", "anchors", "text", "footer")
+        structured_pages(parsed)
+        .withColumns(_footer_column(cfg, application))
+        .select(
+            *[c for c in parsed.columns if c != "nodes"],
+            "key_pages",
+            *[c.alias(name) for name, c in _fact_columns(cfg, application).items()],
+        )
     )

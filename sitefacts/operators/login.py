@@ -57,21 +57,24 @@ def login_by_header(headers: Column) -> Column:
     return F.coalesce(F.array_contains(names, "www-authenticate"), F.lit(False))
 
 
-def login_signals(pages: DataFrame, cfg: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """Add the six signal columns; needs ``url``, ``nodes``, ``text`` and ``headers``."""
+def login_columns(cfg: ExtractConfig = ExtractConfig()) -> dict[str, Column]:
+    """The six signals over ``url``, ``nodes``, ``text`` and ``headers``."""
     nodes = F.col("nodes")
     title = N.first_node(nodes, N.tag_is("title"))
     body = N.raw_text(nodes) if cfg.compat else F.col("text")
-    return pages.withColumns(
-        {
-            "by_url": login_by_url(F.col("url")),
-            "by_title": login_by_title(N.node_text(nodes, title)),
-            "by_form": login_by_form(nodes),
-            "by_text": login_by_text(body),
-            "by_refresh": login_by_refresh(nodes),
-            "by_header": login_by_header(F.col("headers")),
-        }
-    )
+    return {
+        "by_url": login_by_url(F.col("url")),
+        "by_title": login_by_title(N.node_text(nodes, title)),
+        "by_form": login_by_form(nodes),
+        "by_text": login_by_text(body),
+        "by_refresh": login_by_refresh(nodes),
+        "by_header": login_by_header(F.col("headers")),
+    }
+
+
+def login_signals(pages: DataFrame, cfg: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """Add the six signal columns."""
+    return pages.withColumns(login_columns(cfg))
 
 
 def login_required() -> Column:
