@@ -124,15 +124,18 @@ def address_candidates(text: Column, unicode: bool = True) -> tuple[Column, Colu
     return zipped, named
 
 
-def address_in_text(text: Column, unicode: bool = True) -> Column:
+def choose_address(zipped: Column, named: Column) -> Column:
     """Longest match of the first pattern when its length fits, else of the second."""
     fitting = [
-        let(longest(found), lambda a: F.when(len_between(a, 10, 300), a))
-        for found in address_candidates(text, unicode)
+        let(longest(found), lambda a: F.when(len_between(a, 10, 300), a)) for found in (zipped, named)
     ]
     return F.coalesce(*fitting)
 
 
+def address_in_text(text: Column, unicode: bool = True) -> Column:
+    return choose_address(*address_candidates(text, unicode))
+
+
 def is_promotional(text: Column, patterns: Sequence[str] = C.PROMOTIONAL_PATTERNS) -> Column:
     return F.lower(text).rlike("|".join(jvm(p) for p in patterns))
 

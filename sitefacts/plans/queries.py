@@ -192,13 +192,13 @@ def target_mentions(spark, d):
 
 def address_candidates(spark, d):
     zipped, named = P.address_candidates(F.col("text"))
-    found = _documents(spark, d).select("doc_id", "text", zipped.alias("zipped"), named.alias("named"))
+    found = _documents(spark, d).select("doc_id", zipped.alias("zipped"), named.alias("named"))
     return found.select(
         "doc_id",
         F.size("zipped").alias("n_zip"),
         F.size("named").alias("n_city"),
         P.longest(F.col("named")).alias("longest_city"),
-        P.address_in_text(F.col("text")).alias("address"),
+        P.choose_address(F.col("zipped"), F.col("named")).alias("address"),
     )
 
 
@@ -421,8 +421,13 @@ def site_records(spark, d):
     return flat_records(company_records(_pages(spark, d)))
 
 
+def _supplier_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The derived pages as a written table, like any crawled corpus."""
+    return staged(supplier_pages(spark, d), "supplier_pages")
+
+
 def _supplier_walk(spark: SparkSession, d: str, order: str) -> DataFrame:
-    facts = staged(corpus_facts(supplier_pages(spark, d)), "supplier_facts")
+    facts = staged(corpus_facts(_supplier_corpus(spark, d)), "supplier_facts")
     return crawl_attempts(supplier_seeds(spark, d), staged(page_index(facts), "page_index"), order=order)
 
 
@@ -436,13 +441,13 @@ def supplier_walk_bfs(spark, d):
 
 def supplier_records(spark, d):
     return flat_records(
-        company_records(supplier_pages(spark, d), supplier_seeds(spark, d), supplier_robots(spark, d))
+        company_records(_supplier_corpus(spark, d), supplier_seeds(spark, d), supplier_robots(spark, d))
     )
 
 
 def login_override(spark, d):
     """Sites whose walk met a login wall, and what is left of their records."""
-    records = company_records(supplier_pages(spark, d), supplier_seeds(spark, d))
+    records = company_records(_supplier_corpus(spark, d), supplier_seeds(spark, d))
     flat = flat_records(records)
     return flat.select(
         "site", "login_required", "company_name", F.col("offerings") == "", "limitations"

@@ -135,56 +135,53 @@ def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     portal = F.lit('<div class="content"><form><input type="password" name="password"></form></div>')
 
-    def page(path: str | Column, number: int | Column, title: Column, body: Column) -> DataFrame:
-        return sites.select("k", *_page(path, number, title, body))
-
-    def _page(path, number, title, body):
-        path = F.lit(path) if isinstance(path, str) else path
-        number = F.lit(number) if isinstance(number, int) else number
-        return (
-            (k * 1000 + number).alias("page_id"),
-            F.concat(F.lit("https://www.supplier-"), k, F.lit(".com"), path).alias("url"),
-            _html(title, body).alias("html"),
-            path.alias("path"),
+    def page(path, number, title, body, keep=True, status=200, content_type="text/html; charset=utf-8"):
+        """A page of the site as a struct; all pages of a site come from one row, exploded once."""
+        parts = {
+            "path": path, "number": number, "title": title, "body": body, "keep": keep,
+            "status": status, "content_type": content_type,
+        }
+        columns = {n: c if isinstance(c, Column) else F.lit(c) for n, c in parts.items()}
+        columns["number"] = columns["number"].cast("bigint")
+        return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+    def brand_page(x: Column) -> Column:
+        later = F.slice(F.filter("brands", lambda y: y["b"] > x["b"]), 1, 5)
+        links = F.transform(
+            later, lambda y: F.concat(F.lit('<a href="./'), y["b"], F.lit('">more</a>'))
         )
+        return page(F.concat(F.lit("/brands/"), x["b"]), x["b"] + 10, plain, F.array_join(links, ""))
 
-    news = sites.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    next_news = F.concat(F.lit('<p>News</p><a href="'), F.col("i") + 1, F.lit('">next</a>'))
-    brand_pages = brands.join(sites.select("k", "nation", "brands"), "k")
-    later = F.slice(F.filter("brands", lambda x: x["b"] > F.col("b")), 1, 5)
-    links = F.transform(
-        later, lambda x: F.concat(F.lit('<a href="./'), x["b"], F.lit('">more</a>'))
-    )
     plain = F.concat(name, F.lit(" | News"))
+    next_news = lambda i: F.concat(F.lit('<p>News</p><a href="'), i + 1, F.lit('">next</a>'))
+    fixed = F.array(
+        page("/", 0, F.concat(name, F.lit(" | Home")), home),
+        page(
+            "/about", 1, F.concat(F.lit("About | "), name), about,
+            content_type=F.when(k % 9 == 2, "application/pdf").otherwise("text/html"),
+        ),
+        page("/products", 2, plain, products),
+        page("/contact", 3, plain, contact, status=F.when(k % 7 == 0, 404).otherwise(200)),
+        page("/careers", 4, plain, careers, keep=k % 4 != 1),
+        page("/portal", 5, plain, portal, keep=k % 10 == 3),
+    )
+    news = F.transform(
+        F.array(F.lit(1), F.lit(2), F.lit(3)),
+        lambda i: page(F.concat(F.lit("/news/"), i), i + 5, plain, next_news(i)),
+    )
+    every = F.concat(fixed, news, F.transform("brands", brand_page))
     pages = (
-        page("/", 0, F.concat(name, F.lit(" | Home")), home)
-        .unionByName(page("/about", 1, F.concat(F.lit("About | "), name), about).filter("k % 9 <> 2"))
-        .unionByName(page("/products", 2, plain, products))
-        .unionByName(page("/careers", 4, plain, careers).filter("k % 4 <> 1"))
-        .unionByName(page("/portal", 5, plain, portal).filter("k % 10 = 3"))
-        .unionByName(page("/contact", 3, plain, contact).filter("k % 7 <> 0"))
-        .unionByName(
-            news.select("k", *_page(F.concat(F.lit("/news/"), "i"), F.col("i") + 5, plain, next_news))
-        )
-        .unionByName(
-            brand_pages.select(
-                "k",
-                *_page(F.concat(F.lit("/brands/"), "b"), F.col("b") + 10, plain, F.array_join(links, "")),
-            )
-        )
-        .withColumns({"status": F.lit(200), "content_type": F.lit("text/html; charset=utf-8")})
-        .unionByName(
-            page("/contact", 3, plain, contact)
-            .filter("k % 7 = 0")
-            .withColumns({"status": F.lit(404), "content_type": F.lit("text/html")})
-        )
-        .unionByName(
-            page("/about", 1, plain, about)
-            .filter("k % 9 = 2")
-            .withColumns({"status": F.lit(200), "content_type": F.lit("application/pdf")})
+        sites.select("k", "nation", F.explode(F.filter(every, lambda p: p["keep"])).alias("p"))
+        .select("k", "nation", "p.*")
+        .select(
+            (k * 1000 + F.col("number")).alias("page_id"),
+            F.concat(F.lit("https://www.supplier-"), k, F.lit(".com"), F.col("path")).alias("url"),
+            _html(F.col("title"), F.col("body")).alias("html"),
+            "status",
+            "content_type",
         )
     )
-    return as_pages(pages.drop("k", "path"))
+    return as_pages(pages)
 
 
 def supplier_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
