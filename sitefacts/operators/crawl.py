@@ -76,10 +76,8 @@ def _advance(state: Column, known: Column, cfg: ExtractConfig, order: str) -> Co
 
 
 def page_index(facts: DataFrame) -> DataFrame:
-    """``site, url, outcome, links`` of a facts table, one row per URL: the earliest by ``page_id``."""
-    return facts.groupBy("site", "url").agg(
-        F.min_by(F.struct("outcome", "links"), "page_id").alias("page")
-    )
+    """What a walk needs of a facts table with unique ``(site, url)``: ``page`` = outcome and links."""
+    return facts.select("site", "url", F.struct("outcome", "links").alias("page"))
 
 
 def _foreseen(state: Column, known: Column, cfg: ExtractConfig) -> Column:

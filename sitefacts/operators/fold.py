@@ -43,12 +43,13 @@ def ordered_union_rows(df: DataFrame, keys: list[str], items: str, seq: str) ->
 
 
 def merge_maps_last(df: DataFrame, keys: list[str], mapping: str, seq: str) -> DataFrame:
-    """One map per key: the last non-missing value wins for each entry."""
+    """Merged maps as rows ``name, value`` per key: the last page that has an entry sets it.
+
+    Rows and not one map per key, so a key may have any number of entries; ``fold_pages`` builds the
+    map itself for the few social platforms.
+    """
     entries = df.select(*keys, seq, F.explode(mapping).alias("name", "value"))
-    last = entries.groupBy(*keys, "name").agg(F.max_by("value", seq).alias("value"))
-    return last.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(mapping)
-    )
+    return entries.groupBy(*keys, "name").agg(F.max_by("value", seq).alias("value"))
 
 
 def first_n_per_key(df: DataFrame, keys: list[str], order: str, n: int, salts: int = 64) -> DataFrame:

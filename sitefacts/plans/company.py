@@ -46,6 +46,17 @@ def corpus_facts(pages: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     return parsed.unionByName(failed_pages(pages), allowMissingColumns=True)
 
 
+def unique_pages(facts: DataFrame) -> DataFrame:
+    """One row per ``(site, url)``: the copy with the lowest ``page_id``.
+
+    Copies of a URL collapse before the shuffle, so a URL that holds any share of the rows costs one
+    row per task; the later joins on ``(site, url)`` then meet each key once.
+    """
+    rest = [c for c in facts.columns if c not in ("site", "url")]
+    picked = facts.groupBy("site", "url").agg(F.min_by(F.struct(*rest), "page_id").alias("f"))
+    return picked.select("site", "url", "f.*")
+
+
 def company_records(
     pages: DataFrame,
     seeds: DataFrame | None = None,
@@ -57,11 +68,11 @@ def company_records(
 ) -> DataFrame:
     """One company record per seed site.
 
-    Parses the corpus once and stages the facts table; the walk then reads only its link columns,
-    and the fold only the rows that were visited.
+    ``crawl_ts`` is a parameter and not the clock, so a rerun gives equal records. Without ``seeds``
+    each site starts at its page with the lowest ``page_id``.
     """
     return records_from_facts(
-        staged(corpus_facts(pages, cfg), "page_facts", work_dir),
+        corpus_facts(pages, cfg),
         first_page_seeds(pages) if seeds is None else seeds,
         robots, crawl_ts, cfg, order, work_dir,
     )
@@ -76,27 +87,17 @@ def records_from_facts(
     order: str = "dfs",
     work_dir: str | None = None,
 ) -> DataFrame:
-    """Records from an already written facts table."""
-    index = staged(page_index(facts), "page_index", work_dir)
+    """Records from a facts table.
+
+    The table is staged once, so every page is parsed once; the walk then reads only the link
+    columns, and the fold joins only the rows that were visited.
+    """
+    facts = staged(unique_pages(facts), "page_facts", work_dir)
     seeds = staged(seeds, "seeds", work_dir)
-    attempts = crawl_attempts(seeds, index, cfg, order)
-    unique = facts.select("site", "url", "page_id", "note", *FACTS)
-    # Only visited URLs reach the aggregation that settles pages sharing a URL.
-    wanted = visits(attempts)
-    joined = wanted.join(unique, ["site", "url"])
-    visited = (
-        joined.groupBy("site", "seq", "url", "depth")
-        .agg(F.min_by(F.struct(*FACTS), "page_id").alias("f"))
-        .select("site", "seq", "url", "depth", "f.*")
-    )
-    notes = (
-        attempts.filter(F.col("outcome").isin("error"))
-        .select("site", "url")
-        .distinct()
-        .join(facts.select("site", "url", "page_id", "note"), ["site", "url"])
-        .groupBy("site", "url")
-        .agg(F.min_by("note", "page_id").alias("note"))
-    )
+    attempts = crawl_attempts(seeds, page_index(facts), cfg, order)
+    visited = visits(attempts).join(facts.select("site", "url", *FACTS), ["site", "url"])
+    failed = attempts.filter(F.col("outcome") == "error").select("site", "url").distinct()
+    notes = failed.join(facts.select("site", "url", "note"), ["site", "url"])
     tried = attempts.join(notes, ["site", "url"], "left")
     if robots is None:
         tried = tried.withColumn("robots_note", F.lit(None).cast("string"))

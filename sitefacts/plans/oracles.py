@@ -591,7 +591,7 @@ def oracle_sql() -> dict[str, str]:
                               unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS pair FROM pages),
             last AS (SELECT site, split_part(pair, '=', 1) AS name, arg_max(split_part(pair, '=', 2), page_id) AS value
                      FROM q WHERE pair <> '' GROUP BY 1, 2)
-            SELECT site, string_agg(name || '=' || value, ' ; ' ORDER BY name) AS params FROM last GROUP BY site""",
+            SELECT site, name, value FROM last""",
         "site_pages": page
         + f"""SELECT site, count(*) AS n_pages,
                      max(len(list_filter(string_split({path('url')}, '/'), lambda s: s <> ''))) AS depth,

@@ -17,7 +17,7 @@ from sitefacts.operators import extract as X
 from sitefacts.operators import fold, links, login
 from sitefacts.operators.crawl import crawl_attempts, page_index
 from sitefacts.operators.parse import dom_nodes, exploded_nodes, parse_pages
-from sitefacts.plans.company import company_records, corpus_facts, with_site_url
+from sitefacts.plans.company import company_records, corpus_facts, unique_pages, with_site_url
 from sitefacts.plans.supplier_sites import supplier_pages, supplier_robots, supplier_seeds
 from sitefacts.sources import pages as S
 from sitefacts.sources.storage import spread, staged
@@ -329,9 +329,7 @@ def site_map_last(spark, d):
         "page_id",
         F.when(query != "", F.str_to_map(query, F.lit("&"), F.lit("="))).alias("params"),
     )
-    merged = fold.merge_maps_last(pages, ["site"], "params", "page_id")
-    pairs = F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return merged.select("site", joined(F.array_sort(pairs)).alias("params"))
+    return fold.merge_maps_last(pages, ["site"], "params", "page_id")
 
 
 def site_pages(spark, d):
@@ -378,9 +376,8 @@ def _walk(spark: SparkSession, d: str, order: str) -> DataFrame:
         "site", "url", "page_id", F.lit("ok").alias("outcome"),
         links.page_links(F.col("anchors"), F.col("url"), F.col("site")).alias("links"),
     )
-    index = staged(page_index(facts), "page_index")
-    seeds = S.first_page_seeds(_pages(spark, d))
-    return crawl_attempts(seeds, index, order=order)
+    index = page_index(staged(unique_pages(facts), "page_links"))
+    return crawl_attempts(S.first_page_seeds(_pages(spark, d)), index, order=order)
 
 
 def crawl_dfs(spark, d):
@@ -427,8 +424,9 @@ def _supplier_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supplier_walk(spark: SparkSession, d: str, order: str) -> DataFrame:
-    facts = staged(corpus_facts(_supplier_corpus(spark, d)), "supplier_facts")
-    return crawl_attempts(supplier_seeds(spark, d), staged(page_index(facts), "page_index"), order=order)
+    facts = unique_pages(corpus_facts(_supplier_corpus(spark, d)))
+    links_only = staged(facts.select("site", "url", "outcome", "links"), "page_links")
+    return crawl_attempts(supplier_seeds(spark, d), page_index(links_only), order=order)
 
 
 def supplier_walk_dfs(spark, d):
