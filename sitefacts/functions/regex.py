@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What Python's str.strip() and \s treat as white space.
@@ -88,3 +88,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
+
+
+def unnest(df: DataFrame, items: Column | str, pos: str, value: str) -> DataFrame:
+    """Add one row per array item with its position; rows without items are dropped.
+
+    The outer generator with a null test afterwards: the inner one lets the optimizer test the
+    array's size beforehand, which computes an expensive array twice.
+    """
+    return df.select("*", F.posexplode_outer(items).alias(pos, value)).filter(F.col(pos).isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.functions.regex import collapse, find_all, strip
+from sitefacts.functions.regex import collapse, find_all, strip, unnest
 
 # The entities the regex path decodes (the parser decodes all of them).
 ENTITIES = (
@@ -56,7 +56,7 @@ def page_headings(html: Column, limit: int = 3) -> Column:
 def html_tokens(pages: DataFrame) -> DataFrame:
     """One row per comment, tag or text run: ``pos``, ``token``, ``kind`` and ``tag``."""
     return (
-        pages.select("*", F.posexplode(find_all(F.col("html"), TOKEN)).alias("pos", "token"))
+        unnest(pages, find_all(F.col("html"), TOKEN), "pos", "token")
         .drop("html")
         .withColumn(
             "kind",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts.config import ExtractConfig
-from sitefacts.functions.regex import first, let
+from sitefacts.functions.regex import first, let, unnest
 from sitefacts.sources.storage import cut_lineage
 
 DEFAULT = ExtractConfig()
@@ -166,9 +166,7 @@ def crawl_attempts(
     logs = finished[0]
     for more in finished[1:]:
         logs = logs.unionByName(more)
-    return logs.select("site", F.posexplode("log").alias("attempt", "entry")).select(
-        "site", "attempt", "entry.*"
-    )
+    return unnest(logs, "log", "attempt", "entry").select("site", "attempt", "entry.*")
 
 
 def crawl_frontier(
@@ -181,9 +179,7 @@ def crawl_frontier(
 def visits(attempts: DataFrame) -> DataFrame:
     """Successful attempts, renumbered; a site has ``max_pages`` of them at most."""
     ok = attempts.filter(F.col("outcome") == "ok")
-    return (
-        ok.groupBy("site")
-        .agg(F.array_sort(F.collect_list(F.struct("attempt", "url", "depth"))).alias("pages"))
-        .select("site", F.posexplode("pages").alias("seq", "page"))
-        .select("site", "seq", "page.url", "page.depth")
+    ordered = ok.groupBy("site").agg(
+        F.array_sort(F.collect_list(F.struct("attempt", "url", "depth"))).alias("pages")
     )
+    return unnest(ordered, "pages", "seq", "page").select("site", "seq", "page.url", "page.depth")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitefacts import config as C
 from sitefacts.config import ExtractConfig
+from sitefacts.functions.regex import unnest
 
 DEFAULT = ExtractConfig()
 
@@ -31,14 +32,14 @@ def ordered_union(c: Column, seq: Column) -> Column:
 def ordered_union_rows(df: DataFrame, keys: list[str], items: str, seq: str) -> DataFrame:
     """Distinct items per key with the place of their first appearance, ``first_seq`` and ``first_pos``.
 
-    Partial aggregation runs before the shuffle and the shuffle key holds the item, so a key with
-    any share of the rows stays spread.
+    ``first_pos`` counts the distinct items of the list. The shuffle key holds the item and fixed-size
+    minima run before the shuffle, so a key with any share of the rows stays spread.
     """
-    rows = df.select(*keys, F.col(seq).alias("seq"), F.posexplode(items).alias("pos", "item"))
+    lists = df.select(*keys, F.col(seq).alias("seq"), F.array_distinct(items).alias("items"))
     return (
-        rows.groupBy(*keys, "item")
-        .agg(F.min(F.struct("seq", "pos")).alias("at"))
-        .select(*keys, "item", F.col("at.seq").alias("first_seq"), F.col("at.pos").alias("first_pos"))
+        unnest(lists, "items", "pos", "item")
+        .groupBy(*keys, "item")
+        .agg(F.min("seq").alias("first_seq"), F.min_by("pos", "seq").alias("first_pos"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefacts.config import ExtractConfig
 from sitefacts.functions import nodes as N
-from sitefacts.functions.regex import any_of, let
+from sitefacts.functions.regex import any_of, let, unnest
 from sitefacts.functions.urls import resolve_parts, split_url, url_path
 
 DEFAULT = ExtractConfig()
@@ -66,13 +66,10 @@ def page_links(anchors: Column, url: Column, site: Column, cfg: ExtractConfig =
 
 def link_table(pages: DataFrame) -> DataFrame:
     """One row per link: ``site, src_url, pos, href, link`` with the resolved parts in ``link``."""
-    rows = (
-        pages.withColumn("base", split_url(F.col("url")))
-        .select(
-            "site", F.col("url").alias("src_url"), "base",
-            F.posexplode("anchors").alias("pos", "anchor"),
-        )
-        .withColumn("href", N.attr(F.col("anchor"), "href"))
+    pages = pages.select("site", F.col("url").alias("src_url"), "anchors")
+    rows = unnest(pages, "anchors", "pos", "anchor").select(
+        "site", "src_url", "pos", N.attr(F.col("anchor"), "href").alias("href"),
+        split_url(F.col("src_url")).alias("base"),
     )
     link = resolve_parts(F.col("base"), F.col("href")).alias("link")
     return rows.select("site", "src_url", "pos", "href", link)

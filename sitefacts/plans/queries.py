@@ -13,6 +13,7 @@ from sitefacts.functions import nodes as N
 from sitefacts.functions import patterns as P
 from sitefacts.functions import text as T
 from sitefacts.functions import urls as U
+from sitefacts.functions.regex import unnest
 from sitefacts.operators import extract as X
 from sitefacts.operators import fold, links, login
 from sitefacts.operators.crawl import crawl_attempts, page_index
@@ -49,7 +50,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = with_site_url(spread(S.valid_pages(_pages(spark, sf_dir)), "url"))
-    return X.structured_pages(parse_pages(pages))
+    used = pages.select("page_id", "site", "site_url", "url", "headers", "html")
+    return X.structured_pages(parse_pages(used))
 
 
 # --- URLs -----------------------------------------------------------------------------
@@ -79,7 +81,7 @@ def url_resolution(spark, d):
         F.concat(F.lit("./"), tail, F.lit("/../y")), F.lit("?k=v"), F.lit("#top"),
         F.concat(F.lit("//cdn.example.org/"), tail), F.lit("mailto:x@y.z"),
     )
-    rows = _raw(spark, d).select("page_id", "url", F.posexplode(forms).alias("form", "href"))
+    rows = unnest(_raw(spark, d).select("page_id", "url"), forms, "form", "href")
     return rows.select(
         "page_id", "form", "href", U.resolve_url(F.col("url"), F.col("href")).alias("resolved")
     )
@@ -99,7 +101,7 @@ def key_pages(spark, d):
 
 def key_page_counts(spark, d):
     """Labels over all pages of the supplier sites."""
-    labels = supplier_pages(spark, d).select(F.explode(X.key_pages(F.col("url"))).alias("label"))
+    labels = unnest(supplier_pages(spark, d), X.key_pages(F.col("url")), "pos", "label")
     return labels.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -174,10 +176,8 @@ def phones_documents(spark, d):
 
 
 def email_domains_topk(spark, d):
-    found = F.explode(P.email_matches(F.col("text"), skip=())).alias("email")
-    domains = _documents(spark, d).select(found).select(
-        F.lower(F.substring_index("email", "@", -1)).alias("domain")
-    )
+    found = unnest(_documents(spark, d), P.email_matches(F.col("text"), skip=()), "pos", "email")
+    domains = found.select(F.lower(F.substring_index("email", "@", -1)).alias("domain"))
     counts = domains.groupBy("domain").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "domain").limit(10)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefacts.functions.regex import unnest
 from sitefacts.sources.pages import as_pages, as_seeds
 
 
@@ -171,7 +172,7 @@ def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     every = F.concat(fixed, news, F.transform("brands", brand_page))
     pages = (
-        sites.select("k", "nation", F.explode(F.filter(every, lambda p: p["keep"])).alias("p"))
+        unnest(sites, F.filter(every, lambda p: p["keep"]), "pos", "p")
         .select("k", "nation", "p.*")
         .select(
             (k * 1000 + F.col("number")).alias("page_id"),
