@@ -14,7 +14,7 @@ LD = '<script type="application/ld+json">%s</script>'
 
 # case: (url, html)
 CASES = {
-    "hyphen title": ("https://www.ab-biotics.com/", "<title>AB-BIOTICS - Probiotics</title>"),
+    "hyphen title": ("https://www.ab-widgets.com/", "<title>AB-WIDGETS - Gadgets</title>"),
     "empty part": ("https://www.bar.com/", "<title>| Foo</title>"),
     "home suffix": ("https://acme.io/", "<title>Acme | Home</title>"),
     "home prefix": ("https://zzz.io/", "<title>Home - Widgets of the north</title>"),

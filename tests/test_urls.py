@@ -13,8 +13,8 @@ SEEDS = {
     "a.b:8080/x;p?q": "https://a.b:8080/x",
 }
 NAMES = {
-    "https://www.ab-biotics.com/": "Ab-Biotics",
-    "https://www.en.sitew.com/": "En",
+    "https://www.ab-widgets.com/": "Ab-Widgets",
+    "https://www.en.sample.org/": "En",
     "https://acme.io/x": "Acme",
     "https://a1b.io": "A1B",
     "https://localhost:80/": "Localhost:80",
