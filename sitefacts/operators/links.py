@@ -65,14 +65,17 @@ def page_links(anchors: Column, url: Column, site: Column, cfg: ExtractConfig =
 
 
 def link_table(pages: DataFrame) -> DataFrame:
-    """One row per link: ``site, src_url, pos, href, link`` with the resolved parts in ``link``."""
-    pages = pages.select("site", F.col("url").alias("src_url"), "anchors")
+    """One row per link: ``page_id, site, src_url, pos, href, link`` with the resolved parts in ``link``.
+
+    Copies of a URL stay apart by their ``page_id``.
+    """
+    pages = pages.select("page_id", "site", F.col("url").alias("src_url"), "anchors")
     rows = unnest(pages, "anchors", "pos", "anchor").select(
-        "site", "src_url", "pos", N.attr(F.col("anchor"), "href").alias("href"),
+        "page_id", "site", "src_url", "pos", N.attr(F.col("anchor"), "href").alias("href"),
         split_url(F.col("src_url")).alias("base"),
     )
     link = resolve_parts(F.col("base"), F.col("href")).alias("link")
-    return rows.select("site", "src_url", "pos", "href", link)
+    return rows.select("page_id", "site", "src_url", "pos", "href", link)
 
 
 def internal_links(links: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
@@ -83,13 +86,13 @@ def internal_links(links: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
 
 
 def distinct_links(links: DataFrame) -> DataFrame:
-    """First occurrence of each ``(src_url, dst_url)``."""
-    return links.groupBy("site", "src_url", "dst_url").agg(F.min("pos").alias("pos"))
+    """First occurrence of each target on its page."""
+    return links.groupBy("page_id", "site", "src_url", "dst_url").agg(F.min("pos").alias("pos"))
 
 
 def top_links(links: DataFrame, n: int = DEFAULT.links_per_page, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     """First ``n`` links of each page in visiting order, as ``rank`` 1 to ``n``."""
-    order = Window.partitionBy("site", "src_url").orderBy(
+    order = Window.partitionBy("page_id", "site", "src_url").orderBy(
         F.col("is_priority").desc(), F.col("pos")
     )
     return (
