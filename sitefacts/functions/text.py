@@ -22,9 +22,12 @@ TOKEN = r"(?s)<!--.*?-->|<[^>]*>|[^<]+"
 
 
 def decode_entities(c: Column) -> Column:
+    """Decode ``ENTITIES``; the semicolon may be missing where the name clearly ends."""
+    decoded = c
     for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        name = entity.removesuffix(";")
+        decoded = F.regexp_replace(decoded, rf"{name}(?:;|(?![-.a-zA-Z0-9]))", char)
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def without_opaque(html: Column) -> Column:

@@ -47,7 +47,9 @@ def decode(x: str) -> str:
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
     ):
-        x = f"replace({x}, '{entity}', '{char}')"
+        # A missing semicolon is fine where the name clearly ends.
+        name = entity.removesuffix(";")
+        x = rf"regexp_replace({x}, '{name}(?:;|$|([^-.a-zA-Z0-9;]))', '{char}\1', 'g')"
     return x
 
 

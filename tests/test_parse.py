@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from sitefacts.functions import nodes as N
+from sitefacts.functions.text import page_text
 from sitefacts.operators.extract import node_page_text
 from sitefacts.operators.parse import collect_nodes, dom_nodes, parse_pages
 
@@ -92,3 +93,17 @@ def test_node_helpers(spark):
     assert row.by_id == "1, 2, 3"
     assert row.limited == 2
     assert row.links == ["/c", "/e"]
+
+
+def test_regex_text_equals_parsed_text(spark):
+    """The path without a parser reads the same text, cut-off entities included."""
+    htmls = [
+        "<title>a &amp</title><p>x &lt;b&gt; &copy; y&amp;amp; &amp-</p>",
+        "<!-- <p>no --><style>p{}</style><p>1<b> 2</b>3</p><script>'<p>'</script>&quot;q&#39;&nbsp;",
+    ]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "page_id int, html string")
+    both = parse_pages(df, keep_html=True).select(
+        "page_id", page_text(F.col("html")).alias("plain"), node_page_text(F.col("nodes")).alias("parsed")
+    )
+    for row in both.collect():
+        assert row.plain == row.parsed
