@@ -113,3 +113,17 @@ def test_long_runs_stay_linear(spark):
     ).collect()
     assert [r.emails for r in rows] == [0, 0, 1, 0]
     assert rows[3].named == len(texts[3])
+
+
+def test_ascii_classes_on_request(spark):
+    df = spark.createDataFrame([("Éric engineer", "éa@b.co"), ("big engineer", "a@b.co")], "role string, mail string")
+    rows = df.select(
+        P.role_mentions(F.col("role"), unicode=False).alias("ascii"),
+        P.role_mentions(F.col("role")).alias("roles"),
+        P.email_matches(F.col("mail"), (), unicode=False).alias("ascii_mail"),
+        P.email_matches(F.col("mail"), ()).alias("mail"),
+    ).collect()
+    assert [r.ascii for r in rows] == [["Ric Engineer"], ["Big Engineer"]]
+    assert [r.roles for r in rows] == [["Éric Engineer"], ["Big Engineer"]]
+    assert [r.ascii_mail for r in rows] == [["a@b.co"], ["a@b.co"]]
+    assert [r.mail for r in rows] == [[], ["a@b.co"]]

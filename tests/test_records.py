@@ -223,3 +223,18 @@ def test_stream_of_pages(spark, corpus, records, tmp_path):
     feed("site = 'wall.io' AND url <> 'https://wall.io/'")
     late = refresh_records(spark, out, seeds, since_batch=1, crawl_ts=NOW).collect()
     assert late == records.filter("site = 'wall.io'").collect()
+
+
+def test_hot_site_and_hot_url(spark, by_site):
+    """One site with most of the rows, one URL with a third of them, next to many small sites."""
+    page = lambda i, url, html: (i, url, html, 200, "text/html", None, None)
+    rows = [page(i, f"https://hot.io/p{i}", f'<a href="/p{i + 1}">n</a><a href="/p{i + 7}">m</a>') for i in range(1500)]
+    rows += [page(5000 + i, f"https://hot.io/p1?copy={i}", f"<title>Copy {i}</title>") for i in range(1500)]
+    rows += [page(9000 + i, f"https://s{i}.io/", f"<title>Site{i}</title>") for i in range(100)]
+    pages = S.as_pages(spark.createDataFrame(rows, PAGE)).repartition(8)
+    got = {r.site: r for r in company_records(pages, crawl_ts=NOW).collect()}
+    assert len(got) == 101
+    assert all(got[f"s{i}.io"].identity.company_name == f"Site{i}" for i in range(100))
+    visited = got["hot.io"].metadata.pages_visited
+    assert visited[:6] == [f"https://hot.io/p{i}" for i in range(6)]
+    assert len(visited) == len(set(visited)) == 15
