@@ -9,6 +9,8 @@ index is spread by URL, and what a site asks for in a round is bounded by its qu
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,42 @@ def _foreseen(state: Column, known: Column, cfg: ExtractConfig) -> Column:
     return F.array_distinct(F.concat(queued, F.flatten(children)))
 
 
+def _no_pages() -> Column:
+    return F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{_PAGE}>>"))
+
+
+def _most_attempts(cfg: ExtractConfig) -> int:
+    """Longest possible walk; a round answers at least one attempt, so it bounds the rounds too."""
+    return 1 + cfg.max_pages * cfg.links_per_page
+
+
+@lru_cache(maxsize=8)
+def _round_columns(cfg: ExtractConfig, order: str, application: str) -> dict[str, Column]:
+    """The columns of a round, built once per session and setting."""
+    no = F.lit(False)
+    absent = F.struct(F.lit("absent"), F.lit(None).cast("array<string>")).cast(_PAGE)
+    found = F.coalesce("answers", _no_pages())
+    missing = F.filter("wanted", lambda u: ~F.map_contains_key(found, u))
+    started = F.struct(
+        F.col("state.queue"), F.col("state.visited"), F.col("state.log"),
+        no.alias("done"), no.alias("waiting"),
+    ).cast(_STATE)
+    return {
+        "answers": F.map_from_entries(F.collect_list(F.struct("url", F.col("page").cast(_PAGE)))),
+        "looked_up": F.map_concat(
+            "known", found, F.map_from_arrays(missing, F.transform(missing, lambda _: absent))
+        ),
+        "walked": F.aggregate(
+            F.sequence(F.lit(1), F.lit(_most_attempts(cfg) + 1)),
+            started,
+            lambda s, _: _advance(s, F.col("known"), cfg, order),
+        ),
+        "foreseen": _foreseen(F.col("state"), F.col("known"), cfg),
+        "wanted": F.filter("foreseen", lambda u: ~F.map_contains_key("known", u)),
+        "kept": F.map_filter("known", lambda u, _: F.array_contains("foreseen", u)),
+    }
+
+
 def crawl_attempts(
     seeds: DataFrame, index: DataFrame, cfg: ExtractConfig = DEFAULT, order: str = "dfs"
 ) -> DataFrame:
@@ -108,31 +146,8 @@ def crawl_attempts(
     """
     if order not in ("dfs", "bfs"):
         raise ValueError(f"unknown order: {order}")
-    no = F.lit(False)
-    absent = F.struct(F.lit("absent"), F.lit(None).cast("array<string>")).cast(_PAGE)
-    no_pages = F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{_PAGE}>>"))
-    # A round answers at least the attempt a site waits for, so the longest walk bounds the rounds.
-    attempts = 1 + cfg.max_pages * cfg.links_per_page
-
-    # The columns of a round, built once.
-    answered = F.map_from_entries(F.collect_list(F.struct("url", F.col("page").cast(_PAGE))))
-    found = F.coalesce("answers", no_pages)
-    missing = F.filter("wanted", lambda u: ~F.map_contains_key(found, u))
-    looked_up = F.map_concat(
-        "known", found, F.map_from_arrays(missing, F.transform(missing, lambda _: absent))
-    )
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(attempts + 1)),
-        F.struct(
-            F.col("state.queue"), F.col("state.visited"), F.col("state.log"),
-            no.alias("done"), no.alias("waiting"),
-        ).cast(_STATE),
-        lambda s, _: _advance(s, F.col("known"), cfg, order),
-    )
-    foreseen = _foreseen(F.col("state"), F.col("known"), cfg)
-    wanted = F.filter("foreseen", lambda u: ~F.map_contains_key("known", u))
-    kept = F.map_filter("known", lambda u, _: F.array_contains("foreseen", u))
-
+    no, no_pages = F.lit(False), _no_pages()
+    columns = _round_columns(cfg, order, seeds.sparkSession.sparkContext.applicationId)
     start = F.array(F.struct(F.col("url"), F.lit(0)).cast(_STEP))
     nothing = F.array().cast("array<string>")
     state = seeds.select(
@@ -142,20 +157,20 @@ def crawl_attempts(
     ).withColumn("wanted", F.transform("state.queue", lambda s: s["url"]))
     finished: list[DataFrame] = []
 
-    for _ in range(attempts + 1):
+    for _ in range(_most_attempts(cfg) + 1):
         # An inner join: the few requests can be broadcast when Spark measures them as small.
         answers = (
             state.select("site", F.explode("wanted").alias("url"))
             .join(index, ["site", "url"])
             .groupBy("site")
-            .agg(answered.alias("answers"))
+            .agg(columns["answers"].alias("answers"))
         )
         state = (
             state.join(answers, "site", "left")
-            .select("site", "state", looked_up.alias("known"))
-            .select("site", walked.alias("state"), "known")
-            .withColumn("foreseen", foreseen)
-            .select("site", "state", kept.alias("known"), wanted.alias("wanted"))
+            .select("site", "state", columns["looked_up"].alias("known"))
+            .select("site", columns["walked"].alias("state"), "known")
+            .withColumn("foreseen", columns["foreseen"])
+            .select("site", "state", columns["kept"].alias("known"), columns["wanted"].alias("wanted"))
         )
         state = cut_lineage(state)
         finished.append(state.filter("state.done").select("site", "state.log"))
