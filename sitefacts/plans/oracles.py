@@ -121,7 +121,6 @@ def targets(text: str) -> str:
 
 def roles(text: str) -> str:
     """Job words in rule order. Title case restarts after each character without case."""
-    word = rf"[{_WORD}]+"
     found = []
     for w in C.JOB_WORDS:
         for p in C.ROLE_PATTERNS:
@@ -612,7 +611,7 @@ def oracle_sql() -> dict[str, str]:
                                  FROM page GROUP BY site)
              SELECT page_id, CASE WHEN NOT starts_with({path('url')}, '/en/1') AND starts_with({path('url')}, prefix)
                                   THEN 'robots.txt restriction noted for ' || url END AS robots_note
-             FROM page JOIN first_paths USING (site)""".replace(", first_paths AS", ", first_paths AS"),
+             FROM page JOIN first_paths USING (site)""",
         "crawl_dfs": page_walk("dfs") + attempts,
         "crawl_bfs": page_walk("bfs") + attempts,
         "site_records": with_(
