@@ -32,6 +32,8 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 64, 3e-3, 1e-4, 7
 CACHED = 150_000
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
 _STEP = 200_000
+#: Row of the token that stands for "the same stretch again".
+AGAIN = zlib.crc32(b"\0again") % ROWS
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,6 +104,7 @@ class Pool:
         """Mean vector and log of the number of tokens; zeros for empty texts."""
         total = np.zeros(WIDTH + 1)
         chunks = (text or "").split()
+        again = 0
         for at in range(0, len(chunks), CACHED):
             part = chunks[at : at + CACHED]
             if self.free + len(part) > len(self.sums):
@@ -110,6 +113,10 @@ class Pool:
             get, place = self.places.get, self._place
             where = [p if (p := get(c)) is not None else place(c) for c in part]
             total += self.sums[where].sum(0, dtype=np.float64)
+            places = np.array(where)
+            again += int((places[1:] == places[:-1]).sum()) + (at > 0 and chunks[at] == chunks[at - 1])
+        total[:WIDTH] += again * self.vectors[AGAIN]
+        total[WIDTH] += again
         count = total[WIDTH]
         out = np.zeros(WIDTH + 1)
         if count:
@@ -133,7 +140,13 @@ def context_sums(texts: Iterator[str], index: np.ndarray) -> np.ndarray:
         sums[ids[order][starts]] += np.add.reduceat(around[order], starts, axis=0)
 
     for text in texts:
-        ids = np.fromiter((r for c in (text or "").split() for r in rows_of[c]), np.int64)
+        ids, before = [], None
+        for chunk in (text or "").split():
+            ids += rows_of[chunk]
+            if chunk == before:
+                ids.append(AGAIN)
+            before = chunk
+        ids = np.array(ids, np.int64)
         for at in range(0, len(ids), _STEP):
             if len(part := ids[at : at + _STEP]) > AROUND:
                 add(part)
