@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm import mixing, packing, quality, token_counts, warc
+from sitefacts.llm import embedding_dedup, mixing, packing, quality, token_counts, warc
 from sitefacts.llm.common import table
 from sitefacts.sources.storage import checkpoint_dir
 
@@ -45,12 +45,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op7_token_counts": op7_token_counts,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
