@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm import embedding_dedup, mixing, packing, quality, token_counts, warc
+from sitefacts.llm import embedding_dedup, mixing, neighbours, packing, quality, token_counts, warc
 from sitefacts.llm.common import table
 from sitefacts.sources.storage import checkpoint_dir
 
@@ -41,6 +41,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
     "op9_embedding_dedup": op9_embedding_dedup,
 }
