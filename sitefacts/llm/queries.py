@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm import embedding_dedup, mixing, neighbours, packing, quality, token_counts, warc
+from sitefacts.llm import embedding_dedup, html_extract, mixing, neighbours, packing, quality, token_counts, warc
 from sitefacts.llm.common import table
 from sitefacts.sources.storage import checkpoint_dir
 
@@ -49,6 +49,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
+    "op8_html_extract": op8_html_extract,
     "op9_embedding_dedup": op9_embedding_dedup,
 }
 
