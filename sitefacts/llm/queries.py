@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm import embedding_dedup, html_extract, mixing, neighbours, packing, quality, token_counts, warc
+from sitefacts.llm import embedding_dedup, html_extract, mixing, neighbours, ngram_join, packing, quality, token_counts, warc
 from sitefacts.llm.common import table
 from sitefacts.sources.storage import checkpoint_dir
 
@@ -41,6 +41,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_html_extract": op8_html_extract,
