@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm import embedding_dedup, html_extract, mixing, neighbours, ngram_join, packing, quality, token_counts, warc
+from sitefacts.llm import chat, embedding_dedup, html_extract, mixing, neighbours, ngram_join, packing, quality, token_counts, warc
 from sitefacts.llm.common import table
 from sitefacts.sources.storage import checkpoint_dir
 
@@ -61,6 +61,12 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no quotes, so its messages first become mails that quote each other."""
+    mails = chat.as_mails(table(spark, sf_dir, "conversations"))
+    return chat.chats(mails).select("conv_id", "turn", "role", "reply_to", "linked", "text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
     "op8_html_extract": op8_html_extract,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
