@@ -291,10 +291,10 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     sums = lists.groupBy("doc_id", "n").agg(
         *[F.coalesce(F.sum(F.when(F.col("pos") < plain + m - 1, F.col("size"))), F.lit(0)).alias(f"s{m}") for m in range(1, MOST_MATCHES + 1)]
     )
-    costs = [
-        F.struct((PREFIX_COST * (m - 1) + F.col(f"s{m}") + VERIFY_COST * F.col(f"s{m}") / m).alias("cost"), F.lit(m).alias("m"))
-        for m in range(1, MOST_MATCHES + 1)
-    ]
+    cost = {m: PREFIX_COST * (m - 1) + F.col(f"s{m}") + VERIFY_COST * F.col(f"s{m}") / m for m in range(1, MOST_MATCHES + 1)}
+    # a set can't be asked for more shared tokens than it needs to link
+    enough_tokens = F.ceil(F.col("n") * percent / 100)
+    costs = [F.when(F.lit(m) <= enough_tokens, F.struct(c.alias("cost"), F.lit(m).alias("m"))) for m, c in cost.items()]
     chosen = staged(sums.select("doc_id", "n", F.least(*costs)["m"].alias("matches")), "matches")
     used = lists.join(chosen.select("doc_id", "n", "matches"), ["doc_id", "n"]).filter(F.col("pos") < plain + F.col("matches") - 1)
     used = staged(used.select("token", "doc_id", "n", "size"), "used")
