@@ -200,7 +200,8 @@ def near_copies(
         F.col("label").alias("__label"), F.col("vec").alias("__vec"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component",
     )
-    out = all_rows.join(known, (F.col("label") == F.col("__label")) & (F.col("vec") == F.col("__vec")), "left")
+    same = F.col("vec_id").isNotNull() & (F.col("label") == F.col("__label")) & (F.col("vec") == F.col("__vec"))
+    out = all_rows.join(known, same, "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
