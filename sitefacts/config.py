@@ -184,6 +184,8 @@ class ExtractConfig:
                       ``<footer>`` is missed, an empty title part counts as the name.
     ``unicode``       ``\\w \\s \\d \\b`` are Unicode aware (ASCII when False).
     ``login_scope``   ``any`` visited page or only the ``seed`` page can empty the record.
+    ``max_emails``, ``max_phones``, ``max_items`` (offerings, targets, roles) and ``max_headings``
+                      (searched for offerings) bound what one page gives; None keeps all.
     """
 
     max_pages: int = 15
@@ -196,6 +198,10 @@ class ExtractConfig:
     compat: bool = False
     unicode: bool = True
     login_scope: str = "any"
+    max_emails: int | None = 10
+    max_phones: int | None = 5
+    max_items: int | None = 15
+    max_headings: int | None = 15
 
     @property
     def link_bound(self) -> int:

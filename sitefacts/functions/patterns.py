@@ -16,9 +16,18 @@ from sitefacts.functions.regex import (
 def email_matches(text: Column, skip: Sequence[str], unicode: bool = True) -> Column:
     """Addresses in order of appearance, placeholders left out, repeats kept.
 
-    An address holds no blank, so only blank-separated tokens with an ``@`` are searched.
+    An address holds no blank, so only blank-separated tokens with an ``@`` are searched. Before the
+    search, an ``@`` that no domain follows is blotted out, and of a run of name characters that no
+    ``@`` follows only the first is left (what stands before it may ask for a word end there). No match
+    is lost or made by that, and every run that is left is tried once.
     """
+    name, domain = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9.-]"
+    lost = jvm(rf"@(?!{domain}+\.[A-Z|a-z]{{2,}}\b)", unicode)
     tokens = F.filter(F.split(text, jvm(r"\s+")), lambda t: t.contains("@"))
+    tokens = F.transform(tokens, lambda t: F.regexp_replace(t, lost, "\u0001"))
+    tokens = F.filter(tokens, lambda t: t.contains("@"))
+    runs = rf"({name}*+@[A-Za-z0-9.|-]*+)|({name}){name}*+"
+    tokens = F.transform(tokens, lambda t: F.regexp_replace(t, runs, "$1$2"))
     found = F.flatten(F.transform(tokens, lambda t: find_all(t, jvm(C.EMAIL_PATTERN, unicode))))
     kept = F.filter(found, lambda e: ~contains_any(e, skip)) if skip else found
     return F.when(text.contains("@"), kept).otherwise(empty_strings())

@@ -12,13 +12,15 @@ ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
     ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 )
+# Each pattern also takes what is never closed, up to the end: else every start would search it again.
 OPAQUE = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+    r"(?is)<!--(?:.*?-->|.*\z)|<script\b[^>]*+(?:>(?:.*?</script\s*>|.*\z)|\z)|<style\b[^>]*+(?:>(?:.*?</style\s*>|.*\z)|\z)"
 )
-TAG = r"(?s)</?[A-Za-z!?][^>]*>"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
-TOKEN = r"(?s)<!--.*?-->|<[^>]*>|[^<]+"
+TAG = r"(?s)</?[A-Za-z!?][^>]*+(?:>|\z)"
+TITLE = r"(?is)<title[^>]*+(?:>(.*?)(?:(</title>)|\z)|\z)"
+H1 = r"(?is)<h1[^>]*+(?:>.*?(?:</h1>|\z)|\z)"
+H1_TAGS = r"(?i)^<h1[^>]*>|</h1>$"
+TOKEN = r"(?s)<!--(?:.*?-->|.*\z)|<[^>]*+(?:>|\z)|[^<]+"
 
 
 def decode_entities(c: Column) -> Column:
@@ -48,12 +50,14 @@ def glued_text(inner_html: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """Text of the first ``<title>``, null without one."""
-    return F.when(html.rlike(TITLE), glued_text(F.regexp_extract(html, TITLE, 1)))
+    closed = F.regexp_extract(html, TITLE, 2) != ""
+    return F.when(closed, glued_text(F.regexp_extract(html, TITLE, 1)))
 
 
 def page_headings(html: Column, limit: int = 3) -> Column:
-    """Glued texts of the first ``h1`` elements."""
-    return F.transform(F.slice(find_all(without_opaque(html), H1, 1), 1, limit), glued_text)
+    """Glued texts of the first ``h1`` elements that are closed."""
+    found = F.filter(find_all(without_opaque(html), H1), lambda h: h.rlike("(?i)</h1>$"))
+    return F.transform(F.slice(found, 1, limit), lambda h: glued_text(F.regexp_replace(h, H1_TAGS, "")))
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:

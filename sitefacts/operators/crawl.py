@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sitefacts.config import ExtractConfig
 from sitefacts.functions.regex import first, let, unnest
+from sitefacts.operators.links import walk_links
 from sitefacts.sources.storage import cut_lineage
 
 DEFAULT = ExtractConfig()
@@ -77,9 +78,10 @@ def _advance(state: Column, known: Column, cfg: ExtractConfig, order: str) -> Co
     return F.when(state["done"] | state["waiting"], state).otherwise(let(unvisited, with_queue))
 
 
-def page_index(facts: DataFrame) -> DataFrame:
-    """What a walk needs of a facts table with unique ``(site, url)``: ``page`` = outcome and links."""
-    return facts.select("site", "url", F.struct("outcome", "links").alias("page"))
+def page_index(facts: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
+    """What a walk needs of a facts table with unique ``(site, url)``: ``page`` = outcome and links it can reach."""
+    reached = walk_links(F.col("links"), cfg).alias("links")
+    return facts.select("site", "url", F.struct("outcome", reached).alias("page"))
 
 
 def _foreseen(state: Column, known: Column, cfg: ExtractConfig) -> Column:
@@ -177,6 +179,8 @@ def crawl_attempts(
         state = state.filter("NOT state.done")
         if state.isEmpty():
             break
+    else:
+        raise RuntimeError("a walk goes on beyond its bound of rounds")
 
     logs = finished[0]
     for more in finished[1:]:

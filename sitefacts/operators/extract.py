@@ -183,6 +183,10 @@ def tagline(nodes: Column, marked: Column, cfg: ExtractConfig = DEFAULT) -> Colu
     )
 
 
+def at_most(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
 def _link_targets(links: Column, scheme: str) -> Column:
     """Targets of ``mailto:`` or ``tel:`` links; the scheme is found in any case, cut in lower case."""
     found = F.filter(links, lambda n: N.attr(n, "href").rlike(f"^(?i){scheme}"))
@@ -190,20 +194,20 @@ def _link_targets(links: Column, scheme: str) -> Column:
 
 
 def extract_emails(links: Column, text: Column, cfg: ExtractConfig = DEFAULT) -> Column:
-    """Addresses of mail links, then of the text; ten at most."""
+    """Addresses of mail links, then of the text; ``max_emails`` at most."""
     linked = F.transform(
         _link_targets(links, "mailto:"), lambda t: strip(F.substring_index(t, "?", 1))
     )
     linked = F.filter(linked, lambda e: e.contains("@"))
     found = P.email_matches(text, C.EMAIL_SKIP_PAGE, cfg.unicode)
-    return F.slice(F.array_distinct(F.concat(linked, found)), 1, 10)
+    return at_most(F.array_distinct(F.concat(linked, found)), cfg.max_emails)
 
 
 def extract_phones(links: Column, text: Column, cfg: ExtractConfig = DEFAULT) -> Column:
-    """Numbers of phone links, then of the text; five at most."""
+    """Numbers of phone links, then of the text; ``max_phones`` at most."""
     linked = F.filter(F.transform(_link_targets(links, "tel:"), strip), lambda t: t != "")
     found = P.phone_matches(text, C.PHONE_PATTERNS, cfg.unicode)
-    return F.slice(F.array_distinct(F.concat(linked, found)), 1, 5)
+    return at_most(F.array_distinct(F.concat(linked, found)), cfg.max_phones)
 
 
 def _on_platform(host: Column, domains: tuple[str, ...], cfg: ExtractConfig) -> Column:
@@ -278,7 +282,7 @@ def _item_texts(nodes: Column, section: Column, tags: tuple[str, ...], limit: in
     return let(section, lambda s: F.when(s.isNotNull(), read(s)).otherwise(empty_strings()))
 
 
-def primary_offerings(nodes: Column, marked: Column) -> Column:
+def primary_offerings(nodes: Column, marked: Column, cfg: ExtractConfig = DEFAULT) -> Column:
     listed = F.flatten(
         F.array(
             *[
@@ -293,7 +297,8 @@ def primary_offerings(nodes: Column, marked: Column) -> Column:
         )
     )
     headings = F.transform(
-        F.slice(N.find_nodes(nodes, N.tag_is(("h2", "h3"))), 1, 15), lambda h: N.node_text(nodes, h)
+        at_most(N.find_nodes(nodes, N.tag_is(("h2", "h3"))), cfg.max_headings),
+        lambda h: N.node_text(nodes, h),
     )
     headings = F.filter(
         headings,
@@ -302,8 +307,8 @@ def primary_offerings(nodes: Column, marked: Column) -> Column:
     )
     return let(
         kept,
-        lambda k: F.slice(
-            F.when(F.size(k) < 5, F.array_distinct(F.concat(k, headings))).otherwise(k), 1, 15
+        lambda k: at_most(
+            F.when(F.size(k) < 5, F.array_distinct(F.concat(k, headings))).otherwise(k), cfg.max_items
         ),
     )
 
@@ -325,7 +330,7 @@ def target_customers(
         listed, lambda t: len_between(t, 3, 100) & ~contains_any(t, C.TARGET_SKIP_WORDS)
     )
     mentioned = P.target_mentions(text, cfg.unicode)
-    return F.slice(F.array_distinct(F.concat(kept, mentioned)), 1, 15)
+    return at_most(F.array_distinct(F.concat(kept, mentioned)), cfg.max_items)
 
 
 def _footer_by_class(nodes: Column, cfg: ExtractConfig) -> Column:
@@ -411,7 +416,7 @@ def roles_departments(
         lambda t: len_between(t, 3, 100) & contains_any(t, C.DEPARTMENT_WORDS),
     )
     roles = P.role_mentions(text, cfg.unicode)
-    return F.slice(F.array_distinct(F.concat(departments, roles)), 1, 15)
+    return at_most(F.array_distinct(F.concat(departments, roles)), cfg.max_items)
 
 
 def footer_contacts(nodes: Column, cfg: ExtractConfig = DEFAULT) -> Column:
@@ -489,7 +494,7 @@ def _fact_columns(cfg: ExtractConfig, application: str) -> dict[str, Column]:
         "company_name": company_name(nodes, url, cfg),
         "tagline": tagline(nodes, marked, cfg),
         "what_they_do": what_they_do(nodes, marked, cfg),
-        "offerings": primary_offerings(nodes, marked),
+        "offerings": primary_offerings(nodes, marked, cfg),
         "targets": target_customers(nodes, marked, text, cfg),
         "proof": proof_signals(nodes, marked, text),
         "social": social_links(anchors, F.col("site_url"), cfg),

@@ -46,11 +46,7 @@ def prioritize_links(links: Column, cfg: ExtractConfig = DEFAULT) -> Column:
 
 
 def page_links(anchors: Column, url: Column, site: Column, cfg: ExtractConfig = DEFAULT) -> Column:
-    """Internal links in visiting order, without repeats.
-
-    Only the first ``cfg.link_bound`` are kept: a visit follows ``links_per_page`` links that are
-    not visited yet and never more than ``max_pages`` are, so no later link can be followed.
-    """
+    """Internal links in visiting order, without repeats, all of them."""
     internal = let(
         split_url(url),
         lambda base: F.transform(
@@ -61,7 +57,16 @@ def page_links(anchors: Column, url: Column, site: Column, cfg: ExtractConfig =
         ),
     )
     distinct = F.array_distinct(F.filter(internal, lambda u: u.isNotNull()))
-    return F.slice(prioritize_links(distinct, cfg), 1, cfg.link_bound)
+    return prioritize_links(distinct, cfg)
+
+
+def walk_links(links: Column, cfg: ExtractConfig = DEFAULT) -> Column:
+    """Those of a page's links that a walk can reach.
+
+    A visit follows ``links_per_page`` links that are not visited yet and never more than
+    ``max_pages`` are, so no link after the first ``cfg.link_bound`` can be followed.
+    """
+    return F.slice(links, 1, cfg.link_bound)
 
 
 def link_table(pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts.config import ExtractConfig
@@ -32,7 +32,7 @@ def corpus_facts(pages: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     ``ok`` and ``login`` pages were parsed; ``error`` and ``skipped`` pages never reach the parser.
     Narrow from scan to result, apart from spreading a scan of too few tasks.
     """
-    good = with_site_url(spread(valid_pages(pages), "site", "url")).select(
+    good = with_site_url(spread(valid_pages(pages))).select(
         "page_id", "site", "site_url", "url", "headers", "html"
     )
     facts = page_facts(parse_pages(good), cfg)
@@ -46,14 +46,19 @@ def corpus_facts(pages: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     return parsed.unionByName(failed_pages(pages), allowMissingColumns=True)
 
 
+def _copy_order() -> Column:
+    # a null struct would lose the URL; a null id only comes first
+    return F.struct("page_id", F.xxhash64("outcome", "links"))
+
+
 def unique_pages(facts: DataFrame) -> DataFrame:
-    """One row per ``(site, url)``: the copy with the lowest ``page_id``.
+    """One row per ``(site, url)``: the copy with the lowest ``page_id``, equal ids by a hash.
 
     Copies of a URL collapse before the shuffle, so a URL that holds any share of the rows costs one
     row per task; the later joins on ``(site, url)`` then meet each key once.
     """
     rest = [c for c in facts.columns if c not in ("site", "url")]
-    picked = facts.groupBy("site", "url").agg(F.min_by(F.struct(*rest), "page_id").alias("f"))
+    picked = facts.groupBy("site", "url").agg(F.min_by(F.struct(*rest), _copy_order()).alias("f"))
     return picked.select("site", "url", "f.*")
 
 
@@ -94,7 +99,7 @@ def records_from_facts(
     """
     facts = staged(unique_pages(facts), "page_facts", work_dir)
     seeds = staged(seeds, "seeds", work_dir)
-    attempts = crawl_attempts(seeds, page_index(facts), cfg, order)
+    attempts = crawl_attempts(seeds, page_index(facts, cfg), cfg, order)
     visited = visits(attempts).join(facts.select("site", "url", *FACTS), ["site", "url"])
     failed = attempts.filter(F.col("outcome") == "error").select("site", "url").distinct()
     notes = failed.join(facts.select("site", "url", "note"), ["site", "url"])

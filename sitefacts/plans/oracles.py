@@ -237,7 +237,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY is_priority DESC, pos) AS rank
   FROM first_links),
 link_lists AS (
-  SELECT page_id, list(dst_url ORDER BY rank) FILTER (WHERE rank <= 20) AS links
+  SELECT page_id, list(dst_url ORDER BY rank) AS links
   FROM ranked GROUP BY page_id)"""
 
 _KEY_LABELS = "list_filter([{}], lambda l: l IS NOT NULL)".format(
@@ -261,12 +261,12 @@ footers AS (
   FROM footed)"""
 
 
-def contacts(source: str, key: str) -> str:
+def contacts(source: str, key: str, emails_kept: str = "[1:10]", phones_kept: str = "[1:5]") -> str:
     return f"""
 raw_contacts AS (
   SELECT {key}, {emails('text', C.EMAIL_SKIP_PAGE)} AS e, {phones('text', C.PHONE_PATTERNS)} AS p
   FROM {source}),
-contacts AS (SELECT {key}, {distinct('e')}[1:10] AS emails, {distinct('p')}[1:5] AS phones FROM raw_contacts)"""
+contacts AS (SELECT {key}, {distinct('e')}{emails_kept} AS emails, {distinct('p')}{phones_kept} AS phones FROM raw_contacts)"""
 
 
 def with_(*ctes: str, recursive: bool = False) -> str:
@@ -449,7 +449,7 @@ def oracle_sql() -> dict[str, str]:
     page = with_(_PAGES)
     linked = with_(_PAGES, _LINKS)
     named = with_(_PAGES, _NAMES)
-    doc_contacts = contacts("documents", "doc_id")
+    doc_contacts = contacts("documents", "doc_id", "", "")
     page_contacts = contacts("page", "page_id")
     tail = rf"regexp_extract({path('url')}, '([^/]*)/?$', 1)"
     origin = f"{scheme('url')} || '://' || {host('url')}"
@@ -582,7 +582,7 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT site, arg_min(company_name, page_id) FILTER (WHERE company_name <> '') AS name FROM named GROUP BY site",
         "site_ordered_union": linked
         + """SELECT site, dst_url AS item, min(page_id) AS first_seq, arg_min(rank - 1, page_id) AS first_pos
-             FROM ranked WHERE rank <= 20 GROUP BY site, dst_url""",
+             FROM ranked GROUP BY site, dst_url""",
         "site_bool_or": page
         + f"""SELECT site, bool_or(clients) AS clients, bool_or(case_studies) AS case_studies,
                      bool_or(testimonials) AS testimonials, bool_or(certifications_awards) AS certifications_awards

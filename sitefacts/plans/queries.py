@@ -24,6 +24,8 @@ from sitefacts.sources import pages as S
 from sitefacts.sources.storage import spread, staged
 
 SEP = " ; "
+#: Documents are read without the bounds of a page.
+WHOLE = C.ExtractConfig(max_emails=None, max_phones=None)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,11 +39,11 @@ def _raw(spark: SparkSession, sf_dir: str, table: str = "pages") -> DataFrame:
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by the regex path, spread over the cores when the file is one row group."""
-    return spread(_raw(spark, sf_dir).select("page_id", "html"), "page_id")
+    return spread(_raw(spark, sf_dir).select("page_id", "html"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_raw(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return spread(_raw(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = with_site_url(spread(S.valid_pages(_pages(spark, sf_dir)), "url"))
+    pages = with_site_url(spread(S.valid_pages(_pages(spark, sf_dir))))
     used = pages.select("page_id", "site", "site_url", "url", "headers", "html")
     return X.structured_pages(parse_pages(used))
 
@@ -135,7 +137,7 @@ def dom_tag_counts(spark, d):
 
 def dom_nodes_lateral(spark, d):
     """The table function in a lateral join: depth-free shape facts of every page."""
-    pages = spread(_raw(spark, d).select("page_id", "html"), "page_id")
+    pages = spread(_raw(spark, d).select("page_id", "html"))
     spark.udtf.register("site_dom_nodes", dom_nodes())
     pages.createOrReplaceTempView("site_pages_in")
     rows = spark.sql("SELECT page_id, n.* FROM site_pages_in, LATERAL site_dom_nodes(html) AS n")
@@ -160,7 +162,7 @@ def emails_pages(spark, d):
 
 def emails_documents(spark, d):
     return _documents(spark, d).select(
-        "doc_id", joined(X.extract_emails(_no_links(), F.col("text"))).alias("emails")
+        "doc_id", joined(X.extract_emails(_no_links(), F.col("text"), WHOLE)).alias("emails")
     )
 
 
@@ -171,7 +173,7 @@ def phones_pages(spark, d):
 
 def phones_documents(spark, d):
     return _documents(spark, d).select(
-        "doc_id", joined(X.extract_phones(_no_links(), F.col("text"))).alias("phones")
+        "doc_id", joined(X.extract_phones(_no_links(), F.col("text"), WHOLE)).alias("phones")
     )
 
 

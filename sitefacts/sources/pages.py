@@ -25,7 +25,7 @@ PAGE_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in PAGE_COLUMNS.items())
 def as_pages(df: DataFrame) -> DataFrame:
     """Give a corpus the page-table columns: canonical ``url``, ``site`` = host of the URL.
 
-    ``page_id`` orders pages that share a URL; without it the HTML's hash does.
+    ``page_id`` orders pages that share a URL; without the column the HTML's hash does.
     """
     present = set(df.columns)
     derived = {"url": canonical_url(F.col("url"))}
@@ -69,8 +69,13 @@ def load_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_page_seeds(pages: DataFrame) -> DataFrame:
-    """For a corpus without a seed list: each site's page with the lowest ``page_id``."""
-    return pages.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
+    """For a corpus without a seed list: each site's page with the lowest ``page_id``.
+
+    Pages whose URL has no host belong to no site.
+    """
+    return pages.filter(has_site()).groupBy("site").agg(
+        F.min_by("url", F.struct("page_id", "url")).alias("url")
+    )
 
 
 def fetch_error() -> Column:
@@ -95,21 +100,28 @@ def is_html() -> Column:
     return F.coalesce(F.lower("content_type").contains("text/html"), F.lit(True))
 
 
+def has_site() -> Column:
+    """The page's URL has a host."""
+    return F.coalesce(F.col("site") != "", F.lit(False))
+
+
 def valid_pages(pages: DataFrame) -> DataFrame:
-    """Successful HTML responses. Runs before the parser, so nothing else is ever parsed."""
-    return pages.filter(fetch_error().isNull() & is_html())
+    """Successful HTML responses of a site. Runs before the parser, so nothing else is ever parsed."""
+    return pages.filter(has_site() & fetch_error().isNull() & is_html())
 
 
 def failed_pages(pages: DataFrame) -> DataFrame:
-    """The other pages with ``outcome`` (``error`` or ``skipped``) and the ``note`` to log.
+    """The other pages with ``outcome`` and the ``note`` to log.
+
+    The outcome is ``invalid`` for a URL without a host, else ``error`` or ``skipped``.
 
     Reads no HTML, so the second pass over a corpus costs only its small columns.
     """
     error = fetch_error()
-    return pages.filter(error.isNotNull() | ~is_html()).select(
+    return pages.filter(~has_site() | error.isNotNull() | ~is_html()).select(
         "page_id",
         "site",
         "url",
-        F.when(error.isNotNull(), "error").otherwise("skipped").alias("outcome"),
+        F.when(~has_site(), "invalid").when(error.isNotNull(), "error").otherwise("skipped").alias("outcome"),
         error.alias("note"),
     )

@@ -4,21 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Staged tables by application.
+_STAGED: dict[str, list[str]] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session; only where none is set (tests) a temporary one."""
+    """Checkpoint folder of the session, from ``spark.checkpoint.dir``.
+
+    Only a local master, whose tasks all see the driver's disk, gets a temporary folder where none is set.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitefacts-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = Path(tempfile.mkdtemp(prefix="sitefacts-")).as_uri()
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
@@ -30,16 +45,29 @@ def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder or checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute by ``keys`` when the scan has fewer tasks than the cluster has cores.
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged so far; call it when its results are written.
+
+    Returns the number of tables. Frames that still read a staged table fail afterwards.
+    """
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan evenly when it has fewer files than the cluster has cores.
 
     A corpus of many files already splits well and is left alone; a single-row-group file would
-    otherwise run every later stage in one task.
+    otherwise run every later stage in one task. Rows are dealt without a key, so many copies of one
+    URL or id are no large task. The plan is only looked at, nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

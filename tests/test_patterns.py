@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sitefacts import config as C
 from sitefacts.functions import patterns as P
+from sitefacts.functions import text as T
+from sitefacts.functions.regex import find_all
 
 PIECES = [
     "12", "9", "12345", "St", "street", "road", "ave", "for", "serving", "focusing on", "market", "industry",
@@ -127,3 +130,36 @@ def test_ascii_classes_on_request(spark):
     assert [r.roles for r in rows] == [["Éric Engineer"], ["Big Engineer"]]
     assert [r.ascii_mail for r in rows] == [["a@b.co"], ["a@b.co"]]
     assert [r.mail for r in rows] == [[], ["a@b.co"]]
+
+
+def _plain_emails(text):
+    return [m for t in text.split() for m in re.findall(C.EMAIL_PATTERN, t)]
+
+
+def test_emails_equal_the_plain_pattern(spark):
+    rng = random.Random(12)
+    pieces = ["a", "b.c", "_", "é", "@", "@", ".", "com", "x.de", "-", "%", "|", "Z9", "!", "@y.org", "q@r.st", "..", "ß@a.bc"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", P.email_matches(F.col("t"), ()).alias("e")).collect()
+    assert [(r.t, r.e) for r in got if r.e != _plain_emails(r.t)] == []
+
+
+@pytest.mark.parametrize("piece", ["a.", "a.@", "<!--", "<title>", "<h1>", "<title", "<script>", "<a@b."])
+def test_long_texts_take_seconds(spark, piece):
+    text = piece * (1_000_000 // len(piece))
+    row = spark.createDataFrame([(text + "@",)], "t string")
+    start = time.perf_counter()
+    row.select(
+        P.email_matches(F.col("t"), ()), T.page_title(F.col("t")), T.page_headings(F.col("t")), T.page_text(F.col("t")),
+        F.size(find_all(F.col("t"), T.TOKEN)),
+    ).collect()
+    assert time.perf_counter() - start < 20
+
+
+def test_unclosed_parts_end_the_search(spark):
+    html = "<title>a</title>x<h1>b<h1>c</h1>y<!-- z <p>w"
+    row = spark.createDataFrame([(html,), ("<title>open",)], "t string").select(
+        T.page_title(F.col("t")).alias("title"), T.page_headings(F.col("t")).alias("h"), T.page_text(F.col("t")).alias("text")
+    ).collect()
+    assert (row[0].title, row[0].h, row[0].text) == ("a", ["bc"], "a x b c y") and row[1].title is None
