@@ -32,7 +32,9 @@ FREQUENT = 200_000
 MOST_MATCHES, VERIFY_COST, PREFIX_COST = 4, 20, 8
 #: Lists up to this size are joined pair by pair, longer ones by stars of bitmaps.
 SMALL_LIST = 16
-BITS = 1024
+BITS = 2048
+#: Partners of a member in the turns that unite what stars left apart; the last turn tries all pairs left.
+PARTNERS = (3, 12, None)
 #: Members of a list that are compared in one task; longer lists are compared by pairs of blocks.
 BLOCK = 4096
 #: Ids that may be broadcast to pick documents by; more are joined by shuffle.
@@ -195,11 +197,12 @@ def small_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return each.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
 
 
-def sieve(cells: DataFrame, percent: int, across: bool) -> DataFrame:
+def sieve(cells: DataFrame, percent: int, across: bool, partners: int | None = None, turn: int = 0) -> DataFrame:
     """Pairs (a, b) of long lists that bitmaps can't tell apart.
 
     By stars: a member is paired with the first one it may link to, and is no centre then. ``across``:
-    instead, all such pairs between members of different components.
+    instead, such pairs between members of different components, ``partners`` for each member and
+    list, picked by a hash of the pair and ``turn``, or all of them.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -223,12 +226,31 @@ def sieve(cells: DataFrame, percent: int, across: bool) -> DataFrame:
             # |A xor B| <= (n + m) (1 - t) / (1 + t)
             near = others[apart * (100 + percent) <= (n[others] + n[k]) * (100 - percent)]
             free[near] = False
+            if partners is not None and len(near) > partners:
+                mixed = ((ids[near] + ids[k]) * (2 * turn + 1) * 0x9E3779B1 ^ (ids[near] ^ ids[k]) * 0x85EBCA6B) & 0x7FFFFFFF
+                near = near[np.argpartition(mixed, partners)[:partners]]
             found += [(min(ids[k], x), max(ids[k], x)) for x in ids[near].tolist()]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return cells.groupBy("token", "cell_i", "cell_j").applyInPandas(run, "a long, b long").distinct()
 
 
+def close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose bitmaps don't rule out a link."""
+    sides = [sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("bitsa", "bitsb"))
+                apart = _POPULAR[x ^ y].sum(axis=1)
+                bound = (batch["na"] + batch["nb"]).to_numpy() * (100 - percent)
+                yield batch.loc[apart * (100 + percent) <= bound, ["a", "b"]]
+
+    return both.mapInPandas(run, "a long, b long").distinct()
+
+
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets reach the threshold, exactly."""
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
@@ -304,6 +326,7 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     enough = shared.join(asks.select(F.col("doc_id").alias("a"), F.col("matches").alias("ma")), "a").join(
         asks.select(F.col("doc_id").alias("b"), F.col("matches").alias("mb")), "b"
     ).filter(F.col("shared") >= F.least("ma", "mb")).select("a", "b")
+    enough = close_bitmaps(enough, single.select("doc_id", "n", "bits"), percent)
     long_lists = used.filter(F.col("size") > SMALL_LIST).drop("size").join(
         single.select("doc_id", "n", "bits"), ["doc_id", "n"]
     )
@@ -314,15 +337,25 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     vertices = staged(marked.select(F.col("doc_id").alias("id")).distinct(), "vertices")
     united = staged(components(vertices, links), "components")
-    # what stars left open: pairs of one list in different components
-    met = cells.join(united.withColumnRenamed("id", "doc_id"), "doc_id")
-    open_lists = met.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-    rest = sieve(met.join(open_lists.select("token"), "token"), percent, across=True).join(tried, ["a", "b"], "left_anti")
-    rest = staged(rest, "rest")
-    if not rest.isEmpty():
+    # what stars left open: pairs of one list in different components. A few partners for each member
+    # first, which unite most of a large group; the last turn leaves no pair out.
+    for turn, partners in enumerate(PARTNERS):
+        met = cells.join(united.withColumnRenamed("id", "doc_id"), "doc_id")
+        open_lists = met.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+        rest = sieve(met.join(open_lists.select("token"), "token"), percent, True, partners, turn)
+        rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        if rest.isEmpty():
+            continue
+        tried = tried.unionByName(rest)
         more = staged(verify(docs, rest, size, percent), "more")
         if not more.isEmpty():
-            united = components(vertices, links.unionByName(more))
+            # one edge from each old component to another is enough
+            moved = more.join(united.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(
+                united.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b"
+            ).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            merged = components(united.select(F.col("component").alias("id")).distinct(), moved)
+            merged = merged.select(F.col("id").alias("component"), F.col("component").alias("merged"))
+            united = staged(united.join(merged, "component").select("id", F.col("merged").alias("component")), "components")
     return all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(
         united.withColumnRenamed("id", "__id"), F.col("doc_id") == F.col("__id"), "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
