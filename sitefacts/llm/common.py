@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import site
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefacts.sources.storage import staged
 
+#: Applications whose workers have been given the package.
+_SHIPPED: set[str] = set()
+
 #: Words are runs of anything but these ASCII white-space characters (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package where they can't import it: once per application, as an archive."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED or root in {Path(p).resolve() for p in known if p}:
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='sitefacts-')}/sitefacts", "zip", root, "sitefacts")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
