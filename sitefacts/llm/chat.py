@@ -141,27 +141,26 @@ def reply_links(messages: DataFrame) -> DataFrame:
 def threads(links: DataFrame) -> DataFrame:
     """(conv_id, turn, thread, depth): first message and number of ancestors of each message.
 
-    Every round each message jumps to the ancestor of its ancestor, so rounds grow with the logarithm
-    of the depth. Replies always point to earlier turns, so there are no cycles.
+    Every round each message that isn't at its thread's first one jumps to the ancestor of its ancestor,
+    so rounds grow with the logarithm of the depth. Replies always point to earlier turns, so there are no cycles.
     """
+    first = F.col("origin").isNull()
     state = staged(
         links.select(
-            "conv_id", "turn", F.coalesce("origin", "turn").alias("up"), F.when(F.col("origin").isNull(), 0).otherwise(1).cast("long").alias("steps")
+            "conv_id", "turn", F.coalesce("origin", "turn").alias("up"), F.when(first, 0).otherwise(1).cast("long").alias("steps"),
+            first.alias("ended"),
         ),
         "threads",
     )
-    while True:
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        step = staged(
-            state.join(above, ["conv_id", "up"]).select(
-                "conv_id", "turn", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"),
-                (F.col("next") != F.col("up")).alias("moved"),
-            ),
-            "threads",
+    while not state.filter("NOT ended").isEmpty():
+        above = state.select(
+            "conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("ended").alias("last")
         )
-        state = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return state.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
+        jumped = state.filter("NOT ended").join(above, ["conv_id", "up"]).select(
+            "conv_id", "turn", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("last").alias("ended")
+        )
+        state = staged(state.filter("ended").unionByName(jumped), "threads")
+    return state.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
 
 
 def chats(messages: DataFrame) -> DataFrame:
