@@ -4,12 +4,14 @@ The graph starts from random groups. In each round every vector joins its neighb
 vectors that have it as a neighbour, all of them are compared with each other, and each keeps the
 nearest it has seen: neighbours of neighbours are likely neighbours. Rounds are Spark joins on the
 middle vector. A query then walks the graph: the nearest vectors seen so far that were not yet
-expanded are expanded, until the nearest ones all are. Scores are cosines of the original vectors in
-double precision; the graph itself is built on copies with one byte per component.
+expanded are expanded, until the nearest ones all are. Both loops run until they have converged. The
+graph is built and walked on copies with one byte per component; the nearest of a walk are ranked by
+cosines of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +23,30 @@ from pyspark.sql import functions as F
 from sitefacts.llm.embedding_dedup import unit, usable
 from sitefacts.sources.storage import staged
 
-#: Neighbours kept, reverse neighbours that join, rounds, size of the random groups at the start.
-NEIGHBOURS, REVERSE, ROUNDS, GROUP = 30, 20, 5, 256
+#: Neighbours kept, reverse neighbours that join, size of the random groups at the start.
+NEIGHBOURS, REVERSE, GROUP = 30, 20, 256
 #: Candidates that a member is told of by one middle vector in a round.
 TOLD = 10
-#: Nearest vectors of a query that must all be expanded before its search ends, and rounds at most.
-BEAM, HOPS = 100, 6
+#: Nearest vectors of a query that must all be expanded before its search ends.
+BEAM = 100
+#: Vectors up to which the three widths above are as they stand; see ``widths``.
+SMALL = 10_000
+#: Rounds or hops beyond which something is wrong; an error, never an end.
+ENDLESS = 1_000
 _EDGE = "node long, nbr long, score float"
 
 
+def widths(count: int) -> tuple[int, int, int]:
+    """Neighbours, reverse neighbours and beam for so many vectors.
+
+    With every doubling beyond SMALL the lists get a fifth of their base longer, and the beam grows with
+    the square root of the count.
+    """
+    grown = max(1.0, count / SMALL)
+    lists = 1 + math.log2(grown) / 5
+    return math.ceil(NEIGHBOURS * lists), math.ceil(REVERSE * lists), math.ceil(BEAM * math.sqrt(grown))
+
+
 def _codes(vectors: DataFrame) -> DataFrame:
     """(node, code): each vector as one signed byte per component, the largest of them 127."""
 
@@ -104,12 +121,12 @@ def _members(id_: Column, code: Column, limit: Column, new: Column) -> Column:
 
 
 def neighbour_graph(
-    vectors: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, reverse: int = REVERSE
+    vectors: DataFrame, neighbours: int = NEIGHBOURS, reverse: int = REVERSE
 ) -> DataFrame:
     """NN-descent over (node, vec): edges (node, nbr, score, new), ``neighbours`` for each node.
 
-    Every node is in the graph. Ends after ``rounds`` rounds or when a round changes less than one edge
-    in a thousand. Graphs are staged between rounds.
+    Every node is in the graph. Ends when a round changes less than one edge in a thousand. Graphs are
+    staged between rounds.
     """
     codes = staged(_codes(vectors), "codes")
     count = codes.count()
@@ -124,7 +141,7 @@ def neighbour_graph(
         edges = _compare(dealt.select("members"), neighbours)
         start = edges if start is None else start.unionByName(edges)
     graph = staged(_nearest(start.withColumn("new", F.lit(True)), neighbours), "graph")
-    for _ in range(rounds):
+    for _ in range(ENDLESS):
         worst = graph.groupBy("node").agg(F.min("score").alias("limit"), F.count("*").alias("n")).select(
             "node", F.when(F.col("n") < neighbours, low).otherwise(F.col("limit")).alias("limit")
         )
@@ -143,15 +160,19 @@ def neighbour_graph(
         old = graph.select("node", "nbr", "score", F.lit(False).alias("new"))
         graph = staged(_nearest(old.unionByName(told), neighbours), "graph")
         if graph.filter("new").count() * 1000 < count * neighbours:
-            break
-    return graph
+            return graph
+    raise RuntimeError("the neighbour graph does not converge")
 
 
 def _scores(pairs: DataFrame) -> DataFrame:
-    """(query, node, qvec, vec) to (query, node, score): exact cosines."""
+    """(query, node, qvec, vec) to (query, node, score): cosines of vectors, or of codes."""
 
     def rows(column: pa.Array) -> np.ndarray:
-        return unit(column.flatten().to_numpy().reshape(len(column), -1))
+        if pa.types.is_binary(column.type):
+            flat = np.frombuffer(b"".join(column.to_pylist()), np.int8).astype(np.float64)
+        else:
+            flat = column.flatten().to_numpy()
+        return unit(flat.reshape(len(column), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,15 +185,16 @@ def _scores(pairs: DataFrame) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, graph: DataFrame, queries: DataFrame, top: int = 5, beam: int = BEAM, hops: int = HOPS,
-    reverse: int = REVERSE,
+    vectors: DataFrame, graph: DataFrame, queries: DataFrame, top: int = 5, beam: int = BEAM, reverse: int = REVERSE
 ) -> DataFrame:
     """Greedy search of (query, node) starts over the graph: query, rank, node, score.
 
     Each hop expands all nodes among a query's ``beam`` nearest that were not expanded, over neighbours
-    and up to ``reverse`` of the nodes that have them as neighbours. Ends when nothing is left
-    to expand, or after ``hops`` hops. A query's start node is no candidate.
+    and up to ``reverse`` of the nodes that have them as neighbours. Ends when no query has anything left
+    to expand. A query's start node is no candidate. Hops compare codes; the ``beam`` nearest by codes
+    are ranked by exact cosines.
     """
+    codes = staged(_codes(vectors), "codes")
     back = Window.partitionBy("nbr").orderBy(F.col("score").desc(), F.col("node"))
     reversed_ = graph.withColumn("__rank", F.row_number().over(back)).filter(F.col("__rank") <= reverse)
     around = staged(
@@ -182,11 +204,11 @@ def search(
         "around",
     )
     starts = staged(
-        queries.join(vectors, "node").select("query", F.col("node").alias("start"), F.col("vec").alias("qvec")), "queries"
+        queries.join(codes, "node").select("query", F.col("node").alias("start"), F.col("code").alias("qvec")), "queries"
     )
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("node"))
     seen = starts.select("query", F.col("start").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("done"))
-    for _ in range(hops):
-        order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("node"))
+    for _ in range(ENDLESS):
         ranked = seen.withColumn("__rank", F.row_number().over(order))
         front = ranked.filter((F.col("__rank") <= beam + 1) & ~F.col("done")).select("query", "node")
         front = staged(front, "front")
@@ -194,7 +216,9 @@ def search(
             break
         reached = front.join(around, "node").select("query", F.col("next").alias("node")).distinct()
         fresh = reached.join(seen.select("query", "node"), ["query", "node"], "left_anti")
-        scored = _scores(fresh.join(vectors, "node").join(starts.select("query", "qvec"), "query"))
+        scored = _scores(
+            fresh.join(codes.withColumnRenamed("code", "vec"), "node").join(starts.select("query", "qvec"), "query")
+        )
         expanded = front.withColumn("__now", F.lit(True))
         seen = staged(
             seen.join(expanded, ["query", "node"], "left")
@@ -202,8 +226,12 @@ def search(
             .unionByName(scored.withColumn("done", F.lit(False))),
             "seen",
         )
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("node"))
-    found = seen.join(starts.select("query", "start"), "query").filter(F.col("node") != F.col("start"))
+    else:
+        raise RuntimeError("a search does not end")
+    close = seen.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= beam + 1)
+    close = close.select("query", "node").join(starts.select("query", "start"), "query").filter(F.col("node") != F.col("start"))
+    own = queries.join(vectors, "node").select("query", F.col("vec").alias("qvec"))
+    found = _scores(close.join(vectors, "node").join(own, "query"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
         "query", "rank", "node", "score"
     )
@@ -230,9 +258,10 @@ def nearest(rows: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     members = staged(
         used.join(vectors, "vec").select("node", "vec_id"), "members"
     )
-    graph = neighbour_graph(vectors)
+    neighbours, reverse, beam = widths(vectors.count())
+    graph = neighbour_graph(vectors, neighbours, reverse)
     queries = members.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "node")
-    found = search(vectors, graph, queries, top)
+    found = search(vectors, graph, queries, top, beam, reverse)
     # members of a node are equally near: its first top + 1 by id are enough, the query may be one of them
     order = Window.partitionBy("node").orderBy("vec_id")
     first = members.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= top + 1).drop("__n")

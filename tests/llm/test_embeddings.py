@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -98,6 +100,28 @@ def test_neighbours_recall(spark, vectors):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_search_goes_on_until_nothing_is_left_to_expand(spark):
+    # a chain of 20 nodes, the nearest to the start at its far end
+    angles = [0.0] + [math.radians(42 - 2 * k) for k in range(1, 21)]
+    vectors = spark.createDataFrame([(k, [math.cos(a), math.sin(a)]) for k, a in enumerate(angles)], "node long, vec array<double>")
+    chain = spark.createDataFrame([(k, k + 1, 0.5, False) for k in range(20)], "node long, nbr long, score float, new boolean")
+    queries = spark.createDataFrame([(0, 0)], "query long, node long")
+    got = sorted(neighbours.search(vectors, chain, queries).collect(), key=lambda r: r.rank)
+    assert [r.node for r in got] == [20, 19, 18, 17, 16]
+    assert [r.score for r in got] == pytest.approx([math.cos(math.radians(2 * k)) for k in range(1, 6)])
+
+
+def test_graph_goes_on_until_hardly_an_edge_changes(spark):
+    # short lists need many rounds
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 8))
+    frame_ = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, vec array<double>")
+    graph = neighbours.neighbour_graph(frame_, 4, reverse=2)
+    assert graph.filter("new").count() * 1000 < 3000 * 4
+    monotone = [neighbours.widths(n) for n in (0, 10_000, 20_000, 100_000, 10_000_000)]
+    assert monotone[:2] == [(30, 20, 100)] * 2 and monotone[1:] == sorted(set(monotone))
+
+
 def test_few_candidates(spark):
     rows = [(0, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (7, [0.0, 1.0], 2), (None, [1.0, 1.0], 1), (8, [1.0], 1)]
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbours.nearest(frame(spark, rows)).collect())
