@@ -1,6 +1,6 @@
 """Budgeted walk through the link tables of many sites at once.
 
-Each site is one small row: the URLs still to try, the pages visited and the log of attempts. A
+Each start page of a site is one small row: the URLs still to try, the pages visited and the log of attempts. A
 round advances every site as far as the pages it has already looked up allow, then looks up the next
 URLs with one join on ``(site, url)``. A hot site weighs no more than any other in that join: the page
 index is spread by URL, and what a site asks for in a round is bounded by its queue, at most
@@ -140,7 +140,9 @@ def _round_columns(cfg: ExtractConfig, order: str, application: str) -> dict[str
 def crawl_attempts(
     seeds: DataFrame, index: DataFrame, cfg: ExtractConfig = DEFAULT, order: str = "dfs"
 ) -> DataFrame:
-    """Every fetch attempt of every site in order: ``site, attempt, url, depth, outcome``.
+    """Every fetch attempt of every walk in order: ``site, seed, attempt, url, depth, outcome``.
+
+    Each row of ``seeds`` is a walk of its own, named by its start page ``seed``.
 
     ``order='dfs'`` follows a page's links before its siblings, ``'bfs'`` goes level by level; they
     visit different pages when the budget binds. A page outside the corpus has outcome ``absent``:
@@ -154,6 +156,7 @@ def crawl_attempts(
     nothing = F.array().cast("array<string>")
     state = seeds.select(
         "site",
+        F.col("url").alias("seed"),
         _state(start, nothing, F.array().cast(f"array<{_ATTEMPT}>"), no, no).alias("state"),
         no_pages.alias("known"),
     ).withColumn("wanted", F.transform("state.queue", lambda s: s["url"]))
@@ -162,20 +165,20 @@ def crawl_attempts(
     for _ in range(_most_attempts(cfg) + 1):
         # An inner join: the few requests can be broadcast when Spark measures them as small.
         answers = (
-            state.select("site", F.explode("wanted").alias("url"))
+            state.select("site", "seed", F.explode("wanted").alias("url"))
             .join(index, ["site", "url"])
-            .groupBy("site")
+            .groupBy("site", "seed")
             .agg(columns["answers"].alias("answers"))
         )
         state = (
-            state.join(answers, "site", "left")
-            .select("site", "state", columns["looked_up"].alias("known"))
-            .select("site", columns["walked"].alias("state"), "known")
+            state.join(answers, ["site", "seed"], "left")
+            .select("site", "seed", "state", columns["looked_up"].alias("known"))
+            .select("site", "seed", columns["walked"].alias("state"), "known")
             .withColumn("foreseen", columns["foreseen"])
-            .select("site", "state", columns["kept"].alias("known"), columns["wanted"].alias("wanted"))
+            .select("site", "seed", "state", columns["kept"].alias("known"), columns["wanted"].alias("wanted"))
         )
         state = cut_lineage(state)
-        finished.append(state.filter("state.done").select("site", "state.log"))
+        finished.append(state.filter("state.done").select("site", "seed", "state.log"))
         state = state.filter("NOT state.done")
         if state.isEmpty():
             break
@@ -185,20 +188,20 @@ def crawl_attempts(
     logs = finished[0]
     for more in finished[1:]:
         logs = logs.unionByName(more)
-    return unnest(logs, "log", "attempt", "entry").select("site", "attempt", "entry.*")
+    return unnest(logs, "log", "attempt", "entry").select("site", "seed", "attempt", "entry.*")
 
 
 def crawl_frontier(
     seeds: DataFrame, index: DataFrame, cfg: ExtractConfig = DEFAULT, order: str = "dfs"
 ) -> DataFrame:
-    """Visited pages only: ``site, seq, url, depth`` with ``seq`` from 0 in visiting order."""
+    """Visited pages only: ``site, seed, seq, url, depth`` with ``seq`` from 0 in visiting order."""
     return visits(crawl_attempts(seeds, index, cfg, order))
 
 
 def visits(attempts: DataFrame) -> DataFrame:
-    """Successful attempts, renumbered; a site has ``max_pages`` of them at most."""
+    """Successful attempts, renumbered; a walk has ``max_pages`` of them at most."""
     ok = attempts.filter(F.col("outcome") == "ok")
-    ordered = ok.groupBy("site").agg(
+    ordered = ok.groupBy("site", "seed").agg(
         F.array_sort(F.collect_list(F.struct("attempt", "url", "depth"))).alias("pages")
     )
-    return unnest(ordered, "pages", "seq", "page").select("site", "seq", "page.url", "page.depth")
+    return unnest(ordered, "pages", "seq", "page").select("site", "seed", "seq", "page.url", "page.depth")

@@ -78,19 +78,19 @@ def _last_social(platform: str, seq: Column) -> Column:
 
 
 def limitations(attempts: DataFrame) -> DataFrame:
-    """Notes of each site's attempts in order: ``site, notes``; needs ``robots_note`` and ``note``."""
+    """Notes of each walk's attempts in order: ``site, seed, notes``; needs ``robots_note`` and ``note``."""
     notes = F.filter(F.array("robots_note", "note"), lambda n: n.isNotNull())
     return (
-        attempts.select("site", "attempt", notes.alias("notes"))
+        attempts.select("site", "seed", "attempt", notes.alias("notes"))
         .filter(F.size("notes") > 0)
-        .groupBy("site")
+        .groupBy("site", "seed")
         .agg(F.array_sort(F.collect_list(F.struct("attempt", "notes"))).alias("ordered"))
-        .select("site", F.flatten(F.transform("ordered", lambda x: x["notes"])).alias("notes"))
+        .select("site", "seed", F.flatten(F.transform("ordered", lambda x: x["notes"])).alias("notes"))
     )
 
 
 def fold_pages(visited: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
-    """One flat row per site from its visited pages (``max_pages`` at most), in one shuffle.
+    """One flat row per walk from its visited pages (``max_pages`` at most), in one shuffle.
 
     Name and tagline may come from the start page and from ``about`` pages only.
     """
@@ -98,7 +98,7 @@ def fold_pages(visited: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     names_it = (F.col("depth") == 0) | F.array_contains("key_pages", "about")
     platforms = [p for p, _ in cfg.social_domains]
     signals = ("clients", "case_studies", "testimonials", "certifications_awards")
-    return visited.groupBy("site").agg(
+    return visited.groupBy("site", "seed").agg(
         first_nonempty(F.when(names_it, F.col("company_name")), seq).alias("company_name"),
         first_nonempty(F.when(names_it, F.col("tagline")), seq).alias("tagline"),
         first_nonempty(F.col("what_they_do"), seq).alias("what_they_do"),
@@ -124,7 +124,7 @@ def fold_pages(visited: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
 
 def apply_login_override(sites: DataFrame) -> DataFrame:
     """Empty the record of every site with ``login`` set: only its URL and the login note stay."""
-    kept = ("site", "website_url", "login")
+    kept = ("site", "seed", "website_url", "login")
     emptied = {
         name: F.when(~F.col("login"), F.col(name)) for name in sites.columns if name not in kept
     }
@@ -189,12 +189,12 @@ def site_records(
     counts = F.col("outcome") == "login"
     if cfg.login_scope == "seed":
         counts = counts & (F.col("depth") == 0)
-    walls = attempts.groupBy("site").agg(F.bool_or(counts).alias("login"))
+    walls = attempts.groupBy("site", "seed").agg(F.bool_or(counts).alias("login"))
     sites = (
-        seeds.select("site", F.col("url").alias("website_url"))
-        .join(fold_pages(visited, cfg), "site", "left")
-        .join(limitations(attempts), "site", "left")
-        .join(walls, "site", "left")
+        seeds.select("site", F.col("url").alias("seed"), F.col("url").alias("website_url"))
+        .join(fold_pages(visited, cfg), ["site", "seed"], "left")
+        .join(limitations(attempts), ["site", "seed"], "left")
+        .join(walls, ["site", "seed"], "left")
         .withColumn("login", F.coalesce("login", F.lit(False)))
     )
     return assemble(apply_login_override(sites), crawl_ts)

@@ -71,7 +71,7 @@ def company_records(
     order: str = "dfs",
     work_dir: str | None = None,
 ) -> DataFrame:
-    """One company record per seed site.
+    """One company record per seed; a site with several seeds has as many records.
 
     ``crawl_ts`` is a parameter and not the clock, so a rerun gives equal records. Without ``seeds``
     each site starts at its page with the lowest ``page_id``.

@@ -379,7 +379,7 @@ def _walk(spark: SparkSession, d: str, order: str) -> DataFrame:
         links.page_links(F.col("anchors"), F.col("url"), F.col("site")).alias("links"),
     )
     index = page_index(staged(unique_pages(facts), "page_links"))
-    return crawl_attempts(S.first_page_seeds(_pages(spark, d)), index, order=order)
+    return crawl_attempts(S.first_page_seeds(_pages(spark, d)), index, order=order).drop("seed")
 
 
 def crawl_dfs(spark, d):
@@ -428,7 +428,7 @@ def _supplier_corpus(spark: SparkSession, d: str) -> DataFrame:
 def _supplier_walk(spark: SparkSession, d: str, order: str) -> DataFrame:
     facts = unique_pages(corpus_facts(_supplier_corpus(spark, d)))
     links_only = staged(facts.select("site", "url", "outcome", "links"), "page_links")
-    return crawl_attempts(supplier_seeds(spark, d), page_index(links_only), order=order)
+    return crawl_attempts(supplier_seeds(spark, d), page_index(links_only), order=order).drop("seed")
 
 
 def supplier_walk_dfs(spark, d):

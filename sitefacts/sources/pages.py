@@ -52,9 +52,12 @@ def stream_pages(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
 
 
 def as_seeds(urls: DataFrame) -> DataFrame:
-    """Start pages ``site, url`` from raw seed URLs; invalid ones are left out (see ``invalid_seeds``)."""
+    """Start pages ``site, url`` from raw seed URLs; invalid ones are left out (see ``invalid_seeds``).
+
+    A site has as many start pages as different URLs are given; each is walked on its own.
+    """
     normal = urls.select(normalize_url(F.col("url")).alias("url")).filter(F.col("url").isNotNull())
-    return normal.groupBy(url_host(F.col("url")).alias("site")).agg(F.min("url").alias("url"))
+    return normal.select(url_host(F.col("url")).alias("site"), "url").distinct()
 
 
 def invalid_seeds(urls: DataFrame) -> DataFrame:

@@ -238,3 +238,17 @@ def test_hot_site_and_hot_url(spark, by_site):
     visited = got["hot.io"].metadata.pages_visited
     assert visited[:6] == [f"https://hot.io/p{i}" for i in range(6)]
     assert len(visited) == len(set(visited)) == 15
+
+
+def test_every_seed_of_a_host_has_a_record(spark, corpus):
+    pages, _, _ = corpus
+    given = ["https://www.acme.io/two", "www.acme.io", "https://www.acme.io/", "https://wall.io/authors", "https://wall.io"]
+    seeds = S.as_seeds(spark.createDataFrame([(u,) for u in given], "url string"))
+    assert sorted(seeds.collect()) == [
+        ("wall.io", "https://wall.io/"), ("wall.io", "https://wall.io/authors"),
+        ("www.acme.io", "https://www.acme.io/"), ("www.acme.io", "https://www.acme.io/two"),
+    ]
+    visited = {r.identity.website_url: r.metadata.pages_visited for r in company_records(pages, seeds).collect()}
+    assert len(visited) == 4
+    assert visited["https://www.acme.io/two"] == ["https://www.acme.io/two"]
+    assert visited["https://www.acme.io/"] == ["https://www.acme.io/", "https://www.acme.io/about", "https://www.acme.io/two"]
