@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm import chat, embedding_dedup, html_extract, mixing, neighbours, ngram_join, packing, quality, token_counts, warc
+from sitefacts.llm import (
+    chat, collocations, embedding_dedup, fingerprints, html_extract, mixing, neighbours, ngram_join, packing, quality,
+    token_counts, warc, whitening,
+)
 from sitefacts.llm.common import table
 from sitefacts.sources.storage import checkpoint_dir
 
@@ -67,6 +70,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chats(mails).select("conv_id", "turn", "role", "reply_to", "linked", "text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector."""
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of each language over all texts."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edited text and their likeness."""
+    return fingerprints.edit_study(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -78,6 +97,9 @@ QUERIES: dict[str, Query] = {
     "op8_html_extract": op8_html_extract,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
+    "op13_fingerprints": op13_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE, "op12_collocations": collocations.ORACLE}
