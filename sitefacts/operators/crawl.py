@@ -1,10 +1,13 @@
 """Budgeted walk through the link tables of many sites at once.
 
-Each start page of a site is one small row: the URLs still to try, the pages visited and the log of attempts. A
-round advances every site as far as the pages it has already looked up allow, then looks up the next
-URLs with one join on ``(site, url)``. A hot site weighs no more than any other in that join: the page
-index is spread by URL, and what a site asks for in a round is bounded by its queue, at most
-``links_per_page * (max_depth + 1)`` URLs and as many links of each.
+Each start page of a site is one small row: the URLs still to try, the pages visited and the log of
+attempts. A round advances every walk as far as the pages it has already looked up allow, then runs
+ahead: it goes on as if every unknown page were fine and had no links, and looks up all pages it meets
+that way with one join on ``(site, url)``, at most ``max_pages`` for a walk. So each round learns one
+level of every open branch, and a walk takes about as many rounds as it is deep.
+
+The index is a table bucketed by ``(site, url)``: no round shuffles it, only the requests. A hot site
+weighs no more than any other in that join, since its pages are spread by URL.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from sitefacts.config import ExtractConfig
 from sitefacts.functions.regex import first, let, unnest
 from sitefacts.operators.links import walk_links
-from sitefacts.sources.storage import cut_lineage
+from sitefacts.sources.storage import bucketed, cut_lineage
 
 DEFAULT = ExtractConfig()
 
@@ -28,6 +31,8 @@ _STATE = (
     f"struct<queue:array<{_STEP}>,visited:array<string>,log:array<{_ATTEMPT}>,"
     "done:boolean,waiting:boolean>"
 )
+#: A walk that runs ahead: what it would try, and the unknown pages it met.
+_AHEAD = f"struct<queue:array<{_STEP}>,visited:array<string>,asked:array<string>,done:boolean>"
 
 
 def _state(queue: Column, visited: Column, log: Column, done: Column, waiting: Column) -> Column:
@@ -37,6 +42,19 @@ def _state(queue: Column, visited: Column, log: Column, done: Column, waiting: C
     ).cast(_STATE)
 
 
+def _children(page: Column, head: Column, visited: Column, cfg: ExtractConfig) -> Column:
+    """Steps from a visited page to its first links that are not visited yet."""
+    fresh = F.slice(F.filter(page["links"], lambda u: ~F.array_contains(visited, u)), 1, cfg.links_per_page)
+    return F.when(
+        head["depth"] < cfg.max_depth,
+        F.transform(fresh, lambda u: F.struct(u, head["depth"] + 1).cast(_STEP)),
+    ).otherwise(F.array().cast(f"array<{_STEP}>"))
+
+
+def _unvisited(queue: Column, visited: Column) -> Column:
+    return F.filter(queue, lambda s: ~F.array_contains(visited, s["url"]))
+
+
 def _advance(state: Column, known: Column, cfg: ExtractConfig, order: str) -> Column:
     """Try the head of the queue; stop when the budget is used up or the head is not looked up yet."""
     no, yes = F.lit(False), F.lit(True)
@@ -60,13 +78,7 @@ def _advance(state: Column, known: Column, cfg: ExtractConfig, order: str) -> Co
         attempt = F.struct(head["url"], head["depth"], page["outcome"]).cast(_ATTEMPT)
         log = F.concat(state["log"], F.array(attempt))
         visited = F.concat(state["visited"], F.array(head["url"]))
-        fresh = F.slice(
-            F.filter(page["links"], lambda u: ~F.array_contains(visited, u)), 1, cfg.links_per_page
-        )
-        children = F.when(
-            head["depth"] < cfg.max_depth,
-            F.transform(fresh, lambda u: F.struct(u, head["depth"] + 1).cast(_STEP)),
-        ).otherwise(F.array().cast(f"array<{_STEP}>"))
+        children = _children(page, head, visited, cfg)
         queued = F.concat(children, rest) if order == "dfs" else F.concat(rest, children)
         return (
             F.when(page["outcome"] == "ok", _state(queued, visited, log, no, no))
@@ -74,31 +86,55 @@ def _advance(state: Column, known: Column, cfg: ExtractConfig, order: str) -> Co
             .otherwise(_state(rest, state["visited"], log, no, no))
         )
 
-    unvisited = F.filter(state["queue"], lambda s: ~F.array_contains(state["visited"], s["url"]))
+    unvisited = _unvisited(state["queue"], state["visited"])
     return F.when(state["done"] | state["waiting"], state).otherwise(let(unvisited, with_queue))
 
 
+def _run_ahead(ahead: Column, known: Column, cfg: ExtractConfig, order: str) -> Column:
+    """The same step for a walk that takes unknown pages as fine and without links, and notes them."""
+
+    def state(queue: Column, visited: Column, asked: Column, done: Column) -> Column:
+        return F.struct(queue.alias("queue"), visited.alias("visited"), asked.alias("asked"), done.alias("done")).cast(_AHEAD)
+
+    def with_queue(queue: Column) -> Column:
+        finished = (F.size(queue) == 0) | (F.size(ahead["visited"]) >= cfg.max_pages)
+        stop = state(queue, ahead["visited"], ahead["asked"], F.lit(True))
+        return F.when(finished, stop).otherwise(let(first(queue), lambda head: with_head(queue, head)))
+
+    def with_head(queue: Column, head: Column) -> Column:
+        rest = F.slice(queue, 2, F.size(queue))
+        visited = F.concat(ahead["visited"], F.array(head["url"]))
+        asked = F.concat(ahead["asked"], F.array(head["url"]))
+
+        def with_page(page: Column) -> Column:
+            children = _children(page, head, visited, cfg)
+            queued = F.concat(children, rest) if order == "dfs" else F.concat(rest, children)
+            return (
+                F.when(page["outcome"] == "ok", state(queued, visited, ahead["asked"], F.lit(False)))
+                .when(page["outcome"] == "login", state(rest, ahead["visited"], ahead["asked"], F.lit(True)))
+                .otherwise(state(rest, ahead["visited"], ahead["asked"], F.lit(False)))
+            )
+
+        return F.when(
+            ~F.map_contains_key(known, head["url"]), state(rest, visited, asked, F.lit(False))
+        ).otherwise(let(F.element_at(known, head["url"]), with_page))
+
+    return F.when(ahead["done"], ahead).otherwise(let(_unvisited(ahead["queue"], ahead["visited"]), with_queue))
+
+
 def page_index(facts: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
     """What a walk needs of a facts table with unique ``(site, url)``: ``page`` = outcome and links it can reach."""
     reached = walk_links(F.col("links"), cfg).alias("links")
     return facts.select("site", "url", F.struct("outcome", reached).alias("page"))
 
 
-def _foreseen(state: Column, known: Column, cfg: ExtractConfig) -> Column:
-    """URLs the site may try next: its queue, and the links of queued pages already looked up."""
-    queued = F.transform(state["queue"], lambda s: s["url"])
-    children = F.transform(
-        F.filter(state["queue"], lambda s: s["depth"] < cfg.max_depth),
-        lambda s: F.slice(
-            F.filter(
-                F.coalesce(F.try_element_at(known, s["url"])["links"], F.array().cast("array<string>")),
-                lambda u: ~F.array_contains(state["visited"], u),
-            ),
-            1,
-            cfg.links_per_page,
-        ),
-    )
-    return F.array_distinct(F.concat(queued, F.flatten(children)))
+def bucketed_index(
+    facts: DataFrame, cfg: ExtractConfig = DEFAULT, more: tuple[str, ...] = (), folder: str | None = None, dealt: bool = False
+) -> DataFrame:
+    """``page_index`` and the columns ``more`` as a table bucketed by ``(site, url)``; see ``storage.bucketed``."""
+    reached = walk_links(F.col("links"), cfg).alias("links")
+    rows = facts.select("site", "url", F.struct("outcome", reached).alias("page"), *more)
+    return bucketed(rows, "page_index", ["site", "url"], folder, dealt=dealt)
 
 
 def _no_pages() -> Column:
@@ -121,22 +157,34 @@ def _round_columns(cfg: ExtractConfig, order: str, application: str) -> dict[str
         F.col("state.queue"), F.col("state.visited"), F.col("state.log"),
         no.alias("done"), no.alias("waiting"),
     ).cast(_STATE)
+    ahead = F.struct(
+        F.col("state.queue"), F.col("state.visited"), F.array().cast("array<string>").alias("asked"),
+        F.col("state.done"),
+    ).cast(_AHEAD)
+    steps = F.sequence(F.lit(1), F.lit(_most_attempts(cfg) + 1))
     return {
         "answers": F.map_from_entries(F.collect_list(F.struct("url", F.col("page").cast(_PAGE)))),
         "looked_up": F.map_concat(
             "known", found, F.map_from_arrays(missing, F.transform(missing, lambda _: absent))
         ),
-        "walked": F.aggregate(
-            F.sequence(F.lit(1), F.lit(_most_attempts(cfg) + 1)),
-            started,
-            lambda s, _: _advance(s, F.col("known"), cfg, order),
+        "walked": F.aggregate(steps, started, lambda s, _: _advance(s, F.col("known"), cfg, order)),
+        "wanted": F.array_distinct(
+            F.aggregate(steps, ahead, lambda s, _: _run_ahead(s, F.col("known"), cfg, order), lambda s: s["asked"])
         ),
-        "foreseen": _foreseen(F.col("state"), F.col("known"), cfg),
-        "wanted": F.filter("foreseen", lambda u: ~F.map_contains_key("known", u)),
-        "kept": F.map_filter("known", lambda u, _: F.array_contains("foreseen", u)),
+        "kept": F.map_filter("known", lambda u, _: ~F.array_contains("state.visited", u)),
     }
 
 
+def answers(state: DataFrame, index: DataFrame, cfg: ExtractConfig = DEFAULT, order: str = "dfs") -> DataFrame:
+    """The pages that walks want: ``site, seed, answers`` with a map from URL to page.
+
+    An inner join on the keys of the index: a bucketed index is not shuffled, the requests are.
+    """
+    columns = _round_columns(cfg, order, state.sparkSession.sparkContext.applicationId)
+    requests = state.select("site", "seed", F.explode("wanted").alias("url"))
+    return requests.join(index, ["site", "url"]).groupBy("site", "seed").agg(columns["answers"].alias("answers"))
+
+
 def crawl_attempts(
     seeds: DataFrame, index: DataFrame, cfg: ExtractConfig = DEFAULT, order: str = "dfs"
 ) -> DataFrame:
@@ -163,18 +211,10 @@ def crawl_attempts(
     finished: list[DataFrame] = []
 
     for _ in range(_most_attempts(cfg) + 1):
-        # An inner join: the few requests can be broadcast when Spark measures them as small.
-        answers = (
-            state.select("site", "seed", F.explode("wanted").alias("url"))
-            .join(index, ["site", "url"])
-            .groupBy("site", "seed")
-            .agg(columns["answers"].alias("answers"))
-        )
         state = (
-            state.join(answers, ["site", "seed"], "left")
+            state.join(answers(state, index, cfg, order), ["site", "seed"], "left")
             .select("site", "seed", "state", columns["looked_up"].alias("known"))
             .select("site", "seed", columns["walked"].alias("state"), "known")
-            .withColumn("foreseen", columns["foreseen"])
             .select("site", "seed", "state", columns["kept"].alias("known"), columns["wanted"].alias("wanted"))
         )
         state = cut_lineage(state)

@@ -530,3 +530,12 @@ def page_facts(parsed: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
             *[c.alias(name) for name, c in _fact_columns(cfg, application).items()],
         )
     )
+
+
+def walk_facts(parsed: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
+    """Only what a walk needs of every parsed page: its login verdict and its links; one narrow stage."""
+    application = _application(parsed)
+    shared, facts = _shared_columns(application), _fact_columns(cfg, application)
+    return parsed.withColumns({name: shared[name] for name in ("text", "anchors")}).select(
+        *[c for c in parsed.columns if c != "nodes"], *[facts[name].alias(name) for name in ("login", "links")]
+    )

@@ -72,11 +72,6 @@ def first_n_per_key(df: DataFrame, keys: list[str], order: str, n: int, salts: i
     )
 
 
-def _last_social(platform: str, seq: Column) -> Column:
-    value = F.col("social")[platform]
-    return F.max_by(value, F.when(value.isNotNull(), seq))
-
-
 def limitations(attempts: DataFrame) -> DataFrame:
     """Notes of each walk's attempts in order: ``site, seed, notes``; needs ``robots_note`` and ``note``."""
     notes = F.filter(F.array("robots_note", "note"), lambda n: n.isNotNull())
@@ -89,39 +84,97 @@ def limitations(attempts: DataFrame) -> DataFrame:
     )
 
 
-def fold_pages(visited: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
-    """One flat row per walk from its visited pages (``max_pages`` at most), in one shuffle.
+_SCALARS = ("company_name", "tagline", "what_they_do", "address", "contact_page", "careers_page")
+_LISTS = ("key_pages", "offerings", "targets", "emails", "phones", "roles")
+_SIGNALS = ("clients", "case_studies", "testimonials", "certifications_awards")
+
 
-    Name and tagline may come from the start page and from ``about`` pages only.
+def fold_partial(visited: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
+    """Fold state of any part of the visited pages of each walk: ``site, seed, state``.
+
+    For a scalar the state holds the earliest page that has it, for a list the list of each page, for
+    a platform the latest page that links it; so two states can be merged, in any order and grouping,
+    and a page that is in both counts once. A walk visits ``max_pages`` pages at most, which bounds
+    its state. Name and tagline may come from the start page and from ``about`` pages only.
     """
     seq = F.col("seq")
     names_it = (F.col("depth") == 0) | F.array_contains("key_pages", "about")
+
+    def scalar(name: str) -> Column:
+        usable = F.col(name) != ""
+        usable = usable & names_it if name in ("company_name", "tagline") else usable
+        return F.when(usable, F.struct(seq.alias("seq"), F.col(name).alias("value"))).alias(name)
+
+    def last(platform: str) -> Column:
+        value = F.col("social")[platform]
+        return F.when(value.isNotNull(), F.struct(seq.alias("seq"), value.alias("value"))).alias(platform)
+
+    single = visited.select(
+        "site", "seed",
+        F.struct(
+            F.struct(*[scalar(n) for n in _SCALARS]).alias("scalars"),
+            F.struct(
+                *[F.array(F.struct(seq.alias("seq"), F.col(n).alias("list"))).alias(n) for n in _LISTS]
+            ).alias("lists"),
+            F.struct(*[F.col("proof")[n].alias(n) for n in _SIGNALS]).alias("signals"),
+            F.struct(*[last(p) for p, _ in cfg.social_domains]).alias("social"),
+            F.array(F.struct(seq.alias("seq"), "url", "depth")).alias("pages"),
+        ).alias("state"),
+    )
+    return fold_merge(single, cfg)
+
+
+def fold_merge(states: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
+    """One state per walk from any number of them. Associative, commutative and idempotent."""
+
+    def each(group: str, names, aggregate) -> Column:
+        return F.struct(*[aggregate(F.col(f"state.{group}.{n}")).alias(n) for n in names]).alias(group)
+
+    def union(c: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+
+    return states.groupBy("site", "seed").agg(
+        F.struct(
+            each("scalars", _SCALARS, F.min),
+            each("lists", _LISTS, union),
+            each("signals", _SIGNALS, F.bool_or),
+            each("social", [p for p, _ in cfg.social_domains], F.max),
+            union(F.col("state.pages")).alias("pages"),
+        ).alias("state")
+    )
+
+
+def fold_finish(states: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
+    """One flat row per walk from its whole state."""
     platforms = [p for p, _ in cfg.social_domains]
-    signals = ("clients", "case_studies", "testimonials", "certifications_awards")
-    return visited.groupBy("site", "seed").agg(
-        first_nonempty(F.when(names_it, F.col("company_name")), seq).alias("company_name"),
-        first_nonempty(F.when(names_it, F.col("tagline")), seq).alias("tagline"),
-        first_nonempty(F.col("what_they_do"), seq).alias("what_they_do"),
-        first_nonempty(F.col("address"), seq).alias("address"),
-        first_nonempty(F.col("contact_page"), seq).alias("contact_page"),
-        first_nonempty(F.col("careers_page"), seq).alias("careers_page"),
-        *[
-            ordered_union(F.col(name), seq).alias(name)
-            for name in ("key_pages", "offerings", "targets", "emails", "phones", "roles")
-        ],
-        *[F.bool_or(F.col("proof")[s]).alias(s) for s in signals],
+    pages = F.col("state.pages")
+
+    def listed(name: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform(f"state.lists.{name}", lambda x: x["list"])))
+
+    return states.select(
+        "site", "seed",
+        *[F.col(f"state.scalars.{n}.value").alias(n) for n in _SCALARS],
+        *[listed(n).alias(n) for n in _LISTS],
+        *[F.col(f"state.signals.{n}").alias(n) for n in _SIGNALS],
         F.map_filter(
             F.map_from_arrays(
-                F.array(*[F.lit(p) for p in platforms]), F.array(*[_last_social(p, seq) for p in platforms])
+                F.array(*[F.lit(p) for p in platforms]),
+                F.array(*[F.col(f"state.social.{p}.value") for p in platforms]),
             ),
             lambda _, v: v.isNotNull(),
         ).alias("social"),
-        ordered_union(F.array("url"), seq).alias("pages_visited"),
-        F.max("depth").alias("depth"),
-        F.count("*").alias("n_pages"),
+        F.array_distinct(F.transform(pages, lambda x: x["url"])).alias("pages_visited"),
+        F.array_max(F.transform(pages, lambda x: x["depth"])).alias("depth"),
+        F.size(pages).cast("long").alias("n_pages"),
     )
 
 
+def fold_pages(visited: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
+    """One flat row per walk from its visited pages (``max_pages`` at most), in one shuffle."""
+    return fold_finish(fold_partial(visited, cfg), cfg)
+
+
 def apply_login_override(sites: DataFrame) -> DataFrame:
     """Empty the record of every site with ``login`` set: only its URL and the login note stay."""
     kept = ("site", "seed", "website_url", "login")

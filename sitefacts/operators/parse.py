@@ -29,6 +29,8 @@ HIDDEN_TEXT = frozenset("script style template rt rp".split())
 KEEPS_BLANKS = frozenset(("pre", "textarea"))
 # The attributes some rule reads; the others are not worth carrying through the plan.
 USED_ATTRS = frozenset("class id href alt name content property http-equiv type action".split())
+# Those that links and login walls read.
+WALK_ATTRS = frozenset("class id href name http-equiv content type action".split())
 
 ROWS_PER_BATCH = 64
 

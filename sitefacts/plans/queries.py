@@ -16,9 +16,9 @@ from sitefacts.functions import urls as U
 from sitefacts.functions.regex import unnest
 from sitefacts.operators import extract as X
 from sitefacts.operators import fold, links, login
-from sitefacts.operators.crawl import crawl_attempts, page_index
+from sitefacts.operators.crawl import bucketed_index, crawl_attempts
 from sitefacts.operators.parse import dom_nodes, exploded_nodes, parse_pages
-from sitefacts.plans.company import company_records, corpus_facts, unique_pages, with_site_url
+from sitefacts.plans.company import company_records, corpus_links, unique_pages, with_site_url
 from sitefacts.plans.supplier_sites import supplier_pages, supplier_robots, supplier_seeds
 from sitefacts.sources import pages as S
 from sitefacts.sources.storage import spread, staged
@@ -375,10 +375,10 @@ def robots_notes(spark, d):
 
 def _walk(spark: SparkSession, d: str, order: str) -> DataFrame:
     facts = _parsed(spark, d).select(
-        "site", "url", "page_id", F.lit("ok").alias("outcome"),
+        "site", "url", "page_id", F.lit(0).alias("copy"), F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("note"),
         links.page_links(F.col("anchors"), F.col("url"), F.col("site")).alias("links"),
     )
-    index = page_index(staged(unique_pages(facts), "page_links"))
+    index = bucketed_index(unique_pages(facts), dealt=True)
     return crawl_attempts(S.first_page_seeds(_pages(spark, d)), index, order=order).drop("seed")
 
 
@@ -426,9 +426,8 @@ def _supplier_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supplier_walk(spark: SparkSession, d: str, order: str) -> DataFrame:
-    facts = unique_pages(corpus_facts(_supplier_corpus(spark, d)))
-    links_only = staged(facts.select("site", "url", "outcome", "links"), "page_links")
-    return crawl_attempts(supplier_seeds(spark, d), page_index(links_only), order=order).drop("seed")
+    index = bucketed_index(unique_pages(corpus_links(_supplier_corpus(spark, d))), dealt=True)
+    return crawl_attempts(supplier_seeds(spark, d), index, order=order).drop("seed")
 
 
 def supplier_walk_dfs(spark, d):

@@ -8,8 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Staged tables by application.
+#: Staged folders by application, and the names of those that are catalog tables.
 _STAGED: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -49,11 +50,35 @@ def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(
+    df: DataFrame, name: str, keys: list[str], folder: str | None = None, buckets: int | None = None, dealt: bool = False
+) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``keys`` and read it back.
+
+    A join on ``keys`` then shuffles the other side only, as often as the table is joined. There are as many
+    buckets as shuffle partitions, so the other side meets them without being cut anew. ``dealt``
+    says that the rows come from an aggregation by ``keys``: each bucket is then one file already,
+    else they are repartitioned first.
+    """
+    spark = df.sparkSession
+    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{folder or checkpoint_dir(spark)}/{table}"
+    rows = df if dealt else df.repartition(number, *keys)
+    rows.write.bucketBy(number, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    application = spark.sparkContext.applicationId
+    _STAGED.setdefault(application, []).append(path)
+    _TABLES.setdefault(application, []).append(table)
+    return spark.table(table)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete what this application has staged so far; call it when its results are written.
 
     Returns the number of tables. Frames that still read a staged table fail afterwards.
     """
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])
     jvm = spark.sparkContext._jvm
     for path in paths:
@@ -67,7 +92,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     A corpus of many files already splits well and is left alone; a single-row-group file would
     otherwise run every later stage in one task. Rows are dealt without a key, so many copies of one
-    URL or id are no large task. The plan is only looked at, nothing runs.
+    URL or id are no large task. The plan is only looked at, nothing runs. Streams stay as they are.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)

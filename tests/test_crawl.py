@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 
 from sitefacts.config import ExtractConfig
+from sitefacts.operators import crawl
 from sitefacts.operators.crawl import crawl_attempts, visits
 
 
@@ -85,3 +86,77 @@ def test_unknown_order(spark):
     empty = spark.createDataFrame([], "site string, url string")
     with pytest.raises(ValueError):
         crawl_attempts(empty, empty, order="random")
+
+
+def pages_frame(spark, sites):
+    rows = [
+        (site, url, outcome, links) for site, (_, pages) in sites.items() for url, (outcome, links) in pages.items()
+    ]
+    return spark.createDataFrame(rows, "site string, url string, outcome string, links array<string>")
+
+
+def counted_rounds(monkeypatch, spark, sites, cfg, order):
+    rounds = []
+    cut = crawl.cut_lineage
+    monkeypatch.setattr(crawl, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    _, got = run(spark, sites, cfg, order)
+    monkeypatch.setattr(crawl, "cut_lineage", cut)
+    return len(rounds), got
+
+
+def tree_site(width, depth, path="t"):
+    children = [f"{path}{i}" for i in range(width)] if depth else []
+    site = {path: ("ok", children)}
+    for child in children:
+        site |= tree_site(width, depth - 1, child)
+    return site
+
+
+@pytest.mark.parametrize("order", ["dfs", "bfs"])
+def test_rounds_follow_the_depth(spark, monkeypatch, order):
+    """A walk learns a level of every open branch in a round, however many pages it visits."""
+    long = ExtractConfig(max_depth=9, max_pages=40)
+    sites = {"chain": ("p0", chain_site(30)), "tree": ("t", tree_site(2, 4)), "wide": ("t", tree_site(4, 2))}
+    rounds, got = counted_rounds(monkeypatch, spark, sites, long, order)
+    assert got == {s: simple_walk(p, seed, long, order) for s, (seed, p) in sites.items()}
+    assert len(got["tree"]) == 31 and len(got["wide"]) == 21
+    assert rounds <= long.max_depth + 2
+    short = ExtractConfig()
+    rounds, _ = counted_rounds(monkeypatch, spark, {"tree": ("t", tree_site(3, 5))}, short, order)
+    assert rounds <= short.max_depth + 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_index_is_not_shuffled(spark):
+    rng = random.Random(3)
+    sites = {f"random{i}": random_site(rng) for i in range(20)}
+    facts, cfg = pages_frame(spark, sites), ExtractConfig()
+    index = crawl.bucketed_index(facts, cfg)
+    seeds = spark.createDataFrame([(s, seed) for s, (seed, _) in sites.items()], "site string, url string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans = []
+    real = crawl.answers
+
+    def watched(state, *rest):
+        found = real(state, *rest)
+        plans.append(plan_of(found))
+        return found
+
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        crawl.answers = watched
+        attempts = crawl_attempts(seeds, index, cfg).collect()
+    finally:
+        crawl.answers = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans
+    for plan in plans:
+        join = plan[plan.index("SortMergeJoin"):]
+        assert join.count("Exchange") == 1 and "Bucketed: true" in join  # of the requests
+    got = {}
+    for r in sorted(attempts, key=lambda r: r.attempt):
+        got.setdefault(r.site, []).append((r.url, r.depth, r.outcome))
+    assert got == {s: simple_walk(p, seed, cfg, "dfs") for s, (seed, p) in sites.items()}

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from sitefacts.config import LOGIN_NOTE, ExtractConfig
 from sitefacts.operators import fold
 from sitefacts.operators.login import robots_annotate
+from sitefacts.plans import company
 from sitefacts.plans.company import company_records
 from sitefacts.sources import pages as S
 from sitefacts.sources.sinks import record_json, write_records
-from sitefacts.streaming.facts import refresh_records, start_facts_stream
+from sitefacts.streaming.facts import refresh_records, refresh_touched, start_facts_stream, start_winner_stream
 
 NOW = datetime(2025, 12, 24, 12, 16, 8, 180148)
 PAGE = "page_id long, url string, html string, status int, content_type string, fetch_error_kind string, fetch_error_msg string"
@@ -252,3 +253,90 @@ def test_every_seed_of_a_host_has_a_record(spark, corpus):
     assert len(visited) == 4
     assert visited["https://www.acme.io/two"] == ["https://www.acme.io/two"]
     assert visited["https://www.acme.io/"] == ["https://www.acme.io/", "https://www.acme.io/about", "https://www.acme.io/two"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_visited_pages_reach_the_extractors(spark, monkeypatch):
+    """The second pass parses what the walks visit; the first one extracts links and login walls only."""
+    page = lambda i, links, more="": (i, f"https://deep.io/p{i}", "".join(f'<a href="/p{j}">x</a>' for j in links) + more, 200, "text/html", None, None)
+    rows = [page(i, [i + 1]) for i in range(200)] + [page(1, [9], "another copy")]
+    pages = S.as_pages(spark.createDataFrame(rows, PAGE))
+    parsed, real = [], company.parse_pages
+
+    def counting(df, *rest, **more):
+        parsed.append((df.columns, df.count()))
+        return real(df, *rest, **more)
+
+    monkeypatch.setattr(company, "parse_pages", counting)
+    [record] = company_records(pages, crawl_ts=NOW).collect()
+    visited = record.metadata.pages_visited
+    # the first of both copies of p1 by their hash counts; whichever it is, the walk ends at depth 5
+    assert len(visited) == 6
+    assert [n for _, n in parsed] == [201, 6]
+
+
+def test_second_pass_prunes_by_a_bloom_filter(spark, tmp_path):
+    """Where the join shuffles, unvisited pages are dropped before their HTML is moved."""
+    S.as_pages(spark.createDataFrame(SITES, PAGE)).write.parquet(str(tmp_path / "pages"))
+    pages = S.load_pages(spark, str(tmp_path / "pages"))
+    spark.createDataFrame([("wall.io", "https://wall.io/", 7, 1, "ok")], "site string, url string, page_id long, copy long, kind string").write.parquet(str(tmp_path / "picked"))
+    picked = spark.read.parquet(str(tmp_path / "picked")).filter("kind = 'ok'")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = plan_of(company.picked_pages(pages, picked))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "might_contain" in plan and "bloom_filter_agg" in plan
+
+
+def test_merged_partial_folds(spark, corpus):
+    """States of any parts of the visited pages, merged in any order, give the same record."""
+    pages, _, _ = corpus
+    facts = company.corpus_facts(pages).filter("outcome = 'ok'").withColumns(
+        {"seed": F.lit("s"), "seq": F.col("page_id") % 7, "depth": (F.col("page_id") % 3).cast("int")}
+    )
+    visited = facts.withColumn("site", F.lit("one")).unionByName(facts).cache()
+    whole = sorted(fold.fold_pages(visited).collect(), key=str)
+    assert any(r.offerings for r in whole) and any(r.social for r in whole)
+    for salt in range(4):
+        parts = [visited.filter(F.pmod(F.hash("page_id", F.lit(salt)), F.lit(3)) == k) for k in range(3)]
+        states = [fold.fold_partial(p) for p in parts]
+        left = fold.fold_merge(states[salt % 3].unionByName(states[(salt + 1) % 3]))
+        # merged twice, and one part twice
+        merged = fold.fold_merge(left.unionByName(states[(salt + 2) % 3]).unionByName(states[salt % 3]))
+        assert sorted(fold.fold_finish(merged).collect(), key=str) == whole
+
+
+def test_winners_in_a_state_store(spark, corpus, records, tmp_path):
+    """Any split of the pages into batches, late better copies included, gives the records of one run."""
+    pages, seeds, _ = corpus
+    whole = sorted(company_records(pages, seeds, crawl_ts=NOW).collect(), key=str)
+    for salt in range(2):
+        base = tmp_path / str(salt)
+        landing, changes, checkpoint = (str(base / n) for n in ("landing", "changes", "checkpoint"))
+        latest, since = {}, 0
+        # descending ids first: the copy that counts comes last
+        for part in (2, 1, 0):
+            late = pages.filter(F.pmod(F.hash("page_id", F.lit(salt)), F.lit(3)) == part)
+            late.coalesce(1).write.mode("append").parquet(landing)
+            start_winner_stream(S.stream_pages(spark, landing), changes, checkpoint).awaitTermination()
+            for r in refresh_touched(spark, changes, checkpoint, seeds, since, NOW).collect():
+                latest[r.identity.website_url] = r
+            since += 1
+        # a repeated page changes nothing, so nothing is touched
+        pages.limit(3).coalesce(1).write.mode("append").parquet(landing)
+        start_winner_stream(S.stream_pages(spark, landing), changes, checkpoint).awaitTermination()
+        assert refresh_touched(spark, changes, checkpoint, seeds, since, NOW).collect() == []
+        for r in whole:
+            if r.site != "missing.io":  # a site without pages is never touched
+                assert latest[r.identity.website_url] == r
