@@ -184,8 +184,11 @@ class ExtractConfig:
                       ``<footer>`` is missed, an empty title part counts as the name.
     ``unicode``       ``\\w \\s \\d \\b`` are Unicode aware (ASCII when False).
     ``login_scope``   ``any`` visited page or only the ``seed`` page can empty the record.
-    ``max_emails``, ``max_phones``, ``max_items`` (offerings, targets, roles) and ``max_headings``
-                      (searched for offerings) bound what one page gives; None keeps all.
+    ``max_emails``, ``max_phones``, ``max_items`` (offerings, targets, roles) bound what one page gives;
+    ``max_headings`` (searched for offerings), ``max_section_items`` (of a section), ``max_h1`` (searched
+                      for a name), ``max_paragraphs`` and ``max_about_paragraphs`` (searched for a
+                      summary) and ``max_summary`` (joined into one) bound what is looked at. None
+                      keeps all.
     """
 
     max_pages: int = 15
@@ -202,6 +205,11 @@ class ExtractConfig:
     max_phones: int | None = 5
     max_items: int | None = 15
     max_headings: int | None = 15
+    max_section_items: int | None = 15
+    max_h1: int | None = 3
+    max_paragraphs: int | None = 6
+    max_about_paragraphs: int | None = 4
+    max_summary: int | None = 3
 
     @property
     def link_bound(self) -> int:

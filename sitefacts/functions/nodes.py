@@ -171,3 +171,9 @@ def json_text(value: Column, path: str) -> Column:
     return F.when(is_text, F.nullif(F.try_variant_get(value, path, "string"), F.lit("")))
 
 
+def json_number_or_text(value: Column, path: str) -> Column:
+    """The same, with numbers as text; null for 0."""
+    member = F.try_variant_get(value, path, "variant")
+    is_number = F.schema_of_variant(member).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    number = F.when(F.try_variant_get(value, path, "double") != 0, F.try_variant_get(value, path, "string"))
+    return F.when(is_number, number).otherwise(json_text(value, path))

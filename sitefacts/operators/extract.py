@@ -120,7 +120,7 @@ def company_name(nodes: Column, url: Column, cfg: ExtractConfig = DEFAULT) -> Co
 
 def _company_name(nodes: Column, domain: Column, cfg: ExtractConfig) -> Column:
     title = N.first_node(nodes, N.tag_is("title"))
-    h1s = F.slice(N.find_nodes(nodes, N.tag_is("h1")), 1, 3)
+    h1s = at_most(N.find_nodes(nodes, N.tag_is("h1")), cfg.max_h1)
     logos = N.find_nodes(nodes, N.tag_is("img"), N.attr_like("alt", C.LOGO_ALT))
     sources = [
         name_from_title(N.node_text(nodes, title), domain, cfg),
@@ -272,7 +272,7 @@ def proof_signals(nodes: Column, marked: Column, text: Column) -> Column:
     )
 
 
-def _item_texts(nodes: Column, section: Column, tags: tuple[str, ...], limit: int = 15) -> Column:
+def _item_texts(nodes: Column, section: Column, tags: tuple[str, ...], limit: int | None) -> Column:
     """Texts of the first items of a section, counted before any filter."""
 
     def read(s: Column) -> Column:
@@ -286,7 +286,7 @@ def primary_offerings(nodes: Column, marked: Column, cfg: ExtractConfig = DEFAUL
     listed = F.flatten(
         F.array(
             *[
-                _item_texts(nodes, N.select_first(marked, css), ("li", "div", "h3", "h4", "article"))
+                _item_texts(nodes, N.select_first(marked, css), ("li", "div", "h3", "h4", "article"), cfg.max_section_items)
                 for css in C.OFFERING_SELECTORS
             ]
         )
@@ -324,7 +324,7 @@ def target_customers(
         for word in C.TARGET_KEYWORDS
     ]
     listed = F.flatten(
-        F.array(*[_item_texts(nodes, s, ("li", "div", "span", "h3", "h4")) for s in sections])
+        F.array(*[_item_texts(nodes, s, ("li", "div", "span", "h3", "h4"), cfg.max_section_items) for s in sections])
     )
     kept = F.filter(
         listed, lambda t: len_between(t, 3, 100) & ~contains_any(t, C.TARGET_SKIP_WORDS)
@@ -353,7 +353,7 @@ def physical_address(
         return _if_len(F.regexp_replace(N.node_text(nodes, place, ", "), blanks, " "), 10, 300)
 
     def from_parts(block: Column) -> Column:
-        parts = [N.json_text(block, f"$.address.{part}") for part in C.ADDRESS_LD_PARTS]
+        parts = [N.json_number_or_text(block, f"$.address.{part}") for part in C.ADDRESS_LD_PARTS]
         return F.nullif(F.concat_ws(", ", *parts), F.lit(""))
 
     footer = _footer_by_class(nodes, cfg)
@@ -377,18 +377,18 @@ def physical_address(
     )
 
 
-def _summary(paragraphs: Column) -> Column:
-    """Up to three paragraphs joined; a joined text that does not fit is dropped, not cut."""
-    return _if_len(F.array_join(F.slice(paragraphs, 1, 3), " "), 50, 500)
+def _summary(paragraphs: Column, cfg: ExtractConfig) -> Column:
+    """The first paragraphs joined; a joined text that does not fit is dropped, not cut."""
+    return _if_len(F.array_join(at_most(paragraphs, cfg.max_summary), " "), 50, 500)
 
 
 def what_they_do(nodes: Column, marked: Column, cfg: ExtractConfig = DEFAULT) -> Column:
     plain = lambda t: (F.length(t) > 30) & ~P.is_promotional(t, cfg.promotional_patterns)
     about = N.first_node(marked, N.tag_is(SECTION), N.attr_like("class", C.SUMMARY_CLASS))
-    in_about = F.filter(_item_texts(nodes, about, ("p",), limit=4), plain)
+    in_about = F.filter(_item_texts(nodes, about, ("p",), cfg.max_about_paragraphs), plain)
     in_page = F.filter(
         F.transform(
-            F.slice(N.find_nodes(nodes, N.tag_is("p")), 1, 6), lambda p: N.node_text(nodes, p)
+            at_most(N.find_nodes(nodes, N.tag_is("p")), cfg.max_paragraphs), lambda p: N.node_text(nodes, p)
         ),
         lambda t: plain(t) & ~contains_any(t, C.SUMMARY_CART_WORDS),
     )
@@ -404,7 +404,7 @@ def what_they_do(nodes: Column, marked: Column, cfg: ExtractConfig = DEFAULT) ->
             )
         ]
     )
-    return F.coalesce(*described, _summary(in_about), _summary(in_page))
+    return F.coalesce(*described, _summary(in_about, cfg), _summary(in_page, cfg))
 
 
 def roles_departments(
@@ -412,7 +412,7 @@ def roles_departments(
 ) -> Column:
     section = N.first_node(marked, N.tag_is(SECTION), N.attr_like("class", C.DEPARTMENT_CLASS))
     departments = F.filter(
-        _item_texts(nodes, section, ("li", "div", "h3", "h4")),
+        _item_texts(nodes, section, ("li", "div", "h3", "h4"), cfg.max_section_items),
         lambda t: len_between(t, 3, 100) & contains_any(t, C.DEPARTMENT_WORDS),
     )
     roles = P.role_mentions(text, cfg.unicode)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitefacts.config import ExtractConfig
 from sitefacts.functions import nodes as N
 from sitefacts.functions.regex import any_of, let, unnest
-from sitefacts.functions.urls import resolve_parts, split_url, url_path
+from sitefacts.functions.urls import is_tracking_url, join_url, resolve_parts, split_url, url_path, without_port
+from sitefacts.operators.joins import salted_join
 
 DEFAULT = ExtractConfig()
 
@@ -105,3 +106,29 @@ def top_links(links: DataFrame, n: int = DEFAULT.links_per_page, cfg: ExtractCon
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
     )
+
+
+def social_rules(spark: SparkSession, cfg: ExtractConfig = DEFAULT) -> DataFrame:
+    """The configured platforms as a rule table ``platform, domain``."""
+    rows = [(platform, domain) for platform, domains in cfg.social_domains for domain in domains]
+    return spark.createDataFrame(rows, "platform string, domain string")
+
+
+def social_table(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """First link of each page to each platform: ``page_id, site, platform, url``.
+
+    ``links`` is a link table resolved against the site's start URL, ``rules(platform, domain)`` may have
+    any size; each domain belongs to one platform. A suffix join: a link's host is exploded to its label suffixes
+    (``www.a.com``, ``a.com``, ``com``), which meet the domains by equality. A domain that most links lead to is
+    split by salt.
+    """
+    host = without_port(F.col("link.host"))
+    rows = links.select("page_id", "site", "pos", join_url(F.col("link")).alias("url"), host.alias("host"))
+    rows = rows.filter((F.col("host") != "") & ~is_tracking_url(F.col("url")))
+    suffixes = let(
+        F.split("host", r"\."),
+        lambda labels: F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")),
+    )
+    keyed = rows.select("page_id", "site", "pos", "url", F.explode(suffixes).alias("domain"))
+    met = salted_join(keyed, rules.select("platform", F.lower("domain").alias("domain")), ["domain"], F.struct("page_id", "pos"))
+    return met.groupBy("page_id", "site", "platform").agg(F.min_by("url", "pos").alias("url"))

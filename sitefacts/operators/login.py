@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefacts import config as C
 from sitefacts.config import ExtractConfig
 from sitefacts.functions import nodes as N
-from sitefacts.functions.regex import contains_any, first, jvm
+from sitefacts.functions.regex import contains_any, jvm
 from sitefacts.functions.urls import url_host, url_path
+from sitefacts.operators.joins import salted_join
 
 LOGIN_SIGNALS = ("by_url", "by_title", "by_form", "by_text", "by_refresh", "by_header")
 
@@ -85,40 +86,40 @@ def login_required() -> Column:
     return verdict
 
 
-def robots_annotate(pages: DataFrame, rules: DataFrame, agent: str = C.USER_AGENT) -> DataFrame:
-    """Add ``robots_note`` to the disallowed URLs; nothing is ever removed.
+def robots_rules(rules: DataFrame, agent: str = C.USER_AGENT) -> DataFrame:
+    """The rules that apply to an agent: ``host, prefix, rule``, the first one of each prefix.
 
-    ``rules(host, agent, seq, allow, path_prefix)``: the group of the first rule that names the
-    agent applies, else the ``*`` group, and within it the first rule whose prefix fits. Rules are
-    folded to one array per host first (a robots file is small), so pages never multiply.
+    The group of a host's first rule that names the agent applies, else its ``*`` group. The prefix ``*``
+    fits every path.
     """
     token = agent.split("/")[0].lower()
     named = (F.col("agent") != "*") & F.lit(token).contains(F.lower("agent"))
-    usable = rules.filter(named | (F.col("agent") == "*")).withColumn("named", named)
-    folded = usable.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "named", "agent", "allow", "path_prefix"))).alias(
-            "rules"
-        )
-    )
-    group = F.coalesce(first(F.filter("rules", lambda r: r["named"]))["agent"], F.lit("*"))
-    path = url_path(F.col("url"))
-    fitting = first(
-        F.filter(
-            "rules",
-            lambda r: (r["agent"] == F.col("robots_group"))
-            & ((r["path_prefix"] == "*") | F.startswith(path, r["path_prefix"])),
-        )
-    )
-    return (
-        pages.withColumn("host", url_host(F.col("url")))
-        .join(folded.withColumn("robots_group", group), "host", "left")
-        .withColumn(
-            "robots_note",
-            F.when(
-                ~fitting["allow"],
-                F.concat(F.lit("robots.txt restriction noted for "), F.col("url")),
-            ),
-        )
-        .drop("host", "rules", "robots_group")
-    )
+    usable = rules.filter((named | (F.col("agent") == "*")) & F.col("path_prefix").isNotNull())
+    first_named = F.min(F.when(named, F.struct("seq", "agent"))).over(Window.partitionBy("host"))
+    usable = usable.withColumn("group", F.coalesce(first_named["agent"], F.lit("*"))).filter(F.col("agent") == F.col("group"))
+    prefix = F.when(F.col("path_prefix") == "*", "").otherwise(F.col("path_prefix"))
+    return usable.groupBy("host", prefix.alias("prefix")).agg(F.min(F.struct("seq", "allow", "path_prefix")).alias("rule"))
+
 
+def robots_annotate(pages: DataFrame, rules: DataFrame, agent: str = C.USER_AGENT) -> DataFrame:
+    """Add ``robots_note`` to the disallowed URLs; nothing is ever removed.
+
+    ``rules(host, agent, seq, allow, path_prefix)``: within the group that applies (``robots_rules``) the
+    first rule whose prefix fits decides. A prefix join: each different URL is exploded to the prefixes
+    of its path, of the lengths that rules have, and these meet the rules by equality, the lowest ``seq``
+    winning. A host with most of the URLs is split by salt; no host's rules are ever one row.
+    """
+    own = robots_rules(rules, agent)
+    # one number for each length a prefix has
+    lengths = sorted(r["n"] for r in own.select(F.length("prefix").alias("n")).distinct().collect())
+    if not lengths:
+        return pages.withColumn("robots_note", F.lit(None).cast("string"))
+    urls = pages.select("url").distinct().select(
+        "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")
+    )
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
+    prefixes = urls.select("url", "host", F.explode(F.transform(fitting, lambda n: F.substring("path", F.lit(1), n))).alias("prefix"))
+    met = salted_join(prefixes, own, ["host", "prefix"], F.col("url"))
+    decided = met.groupBy("url").agg(F.min("rule").alias("rule")).filter(~F.col("rule.allow"))
+    notes = decided.select("url", F.concat(F.lit("robots.txt restriction noted for "), F.col("url")).alias("robots_note"))
+    return pages.join(notes, "url", "left")

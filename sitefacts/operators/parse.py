@@ -224,15 +224,25 @@ def parse_pages(
 
 
 class _DomNodes:
-    def eval(self, html: str):
-        if html is not None:
-            for number, (end, parent, tag, attrs, text) in enumerate(collect_nodes(html, None)):
-                yield number, end, parent, tag, attrs, text
+    """Arrow batches in, Arrow batches out; a row of the table argument is ``page_id, html``."""
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        for start in range(0, batch.num_rows, ROWS_PER_BATCH):
+            part = batch.slice(start, ROWS_PER_BATCH)
+            nodes, _ = _node_arrays(part.column("html").to_pylist(), None)
+            sizes = [0 if n is None else n for n in nodes.value_lengths().to_pylist()]
+            flat = nodes.flatten()
+            owner = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64())
+            names = [f.name for f in flat.type]
+            yield pa.table(
+                [part.column("page_id").take(owner), *[flat.field(i) for i in range(len(names))]], names=["page_id", *names]
+            )
 
 
 def dom_nodes() -> UserDefinedTableFunction:
-    """Table function for lateral joins: one row per node of an HTML string, all attributes kept."""
-    return F.udtf(_DomNodes, returnType=NODE_TYPE)
+    """Vectorised table function over a table ``page_id, html``: one row per node, all attributes kept."""
+    fields = [T.StructField("page_id", T.LongType()), *NODE_TYPE.fields]
+    return F.arrow_udtf(_DomNodes, returnType=T.StructType(fields))
 
 
 def exploded_nodes(parsed: DataFrame) -> DataFrame:

@@ -523,6 +523,30 @@ def oracle_sql() -> dict[str, str]:
                          '(?is)(<(script|style)[^>]*>).*?</', '\1</', 'g') AS body FROM pages)
             SELECT page_id, len(regexp_extract_all(body, '<[A-Za-z]')) AS elements,
                    len(regexp_extract_all(body, '<a\s')) AS links, 1 AS title_size FROM b""",
+        "nav_links": r"""
+            WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                         '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS body FROM pages),
+            c AS (SELECT page_id, body, len(regexp_extract_all(body, '<a\s')) AS links,
+                         len(regexp_extract_all(regexp_extract(body, '(?s)<nav>.*?</nav>'), '<a\s')) AS in_nav FROM b)
+            SELECT page_id, in_nav, links AS in_block,
+                   len(list_filter(string_split_regex(body, '<(li|p|article)[ >]'), lambda x, i: i > 1 AND regexp_matches(x, '<a\s'))) AS blocks
+            FROM c WHERE links > 0""",
+        "byte_bodies": r"""
+            WITH k AS (SELECT page_id, html, replace(html, '<meta charset="utf-8">', '') AS bare,
+                              CASE WHEN page_id % 5 = 1 AND NOT regexp_full_match(html, '(?s)[\x00-\x7f\x{a0}-\x{ff}]*') THEN 0
+                                   ELSE page_id % 5 END AS kind FROM pages)
+            SELECT page_id, CASE kind WHEN 1 THEN 'windows-1252' WHEN 2 THEN 'utf-16-le' WHEN 3 THEN 'windows-1252' ELSE 'utf-8' END AS charset,
+                   md5(CASE kind WHEN 0 THEN html WHEN 3 THEN
+                     array_to_string(list_transform(list_transform(regexp_extract_all(hex(encode(bare)), '..'),
+                       lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1),
+                       lambda b: CASE WHEN b < 128 OR b > 159 THEN chr(b::INT) ELSE ['€', chr(129), '‚', 'ƒ', '„', '…', '†', '‡', 'ˆ',
+                         '‰', 'Š', '‹', 'Œ', chr(141), 'Ž', chr(143), chr(144), '‘', '’', '“', '”', '•', '–', '—', '˜', '™',
+                         'š', '›', 'œ', chr(157), 'ž', 'Ÿ'][b - 127] END), '') || '€ÿ'
+                     ELSE bare END) AS text_md5 FROM k""",
+        "social_profiles": """
+            SELECT s_suppkey * 1000 AS page_id, 'linkedin' AS platform,
+                   'https://www.linkedin.com/company/supplier-' || s_suppkey AS url FROM supplier
+            UNION ALL SELECT s_suppkey * 1000, 'twitter', 'https://x.com/supplier' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0""",
         "emails_pages": with_(_PAGES, page_contacts) + f"SELECT page_id, {joined('emails')} AS emails FROM contacts",
         "emails_documents": with_(doc_contacts) + f"SELECT doc_id, {joined('emails')} AS emails FROM contacts",
         "phones_pages": with_(_PAGES, page_contacts) + f"SELECT page_id, {joined('phones')} AS phones FROM contacts",

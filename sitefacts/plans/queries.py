@@ -13,10 +13,12 @@ from sitefacts.functions import nodes as N
 from sitefacts.functions import patterns as P
 from sitefacts.functions import text as T
 from sitefacts.functions import urls as U
+from sitefacts.functions.charset import body_parts
 from sitefacts.functions.regex import unnest
 from sitefacts.operators import extract as X
 from sitefacts.operators import fold, links, login
 from sitefacts.operators.crawl import bucketed_index, crawl_attempts
+from sitefacts.operators.joins import contained_in
 from sitefacts.operators.parse import dom_nodes, exploded_nodes, parse_pages
 from sitefacts.plans.company import company_records, corpus_links, unique_pages, with_site_url
 from sitefacts.plans.supplier_sites import supplier_pages, supplier_robots, supplier_seeds
@@ -136,11 +138,11 @@ def dom_tag_counts(spark, d):
 
 
 def dom_nodes_lateral(spark, d):
-    """The table function in a lateral join: depth-free shape facts of every page."""
+    """The table function over a table: depth-free shape facts of every page."""
     pages = spread(_raw(spark, d).select("page_id", "html"))
     spark.udtf.register("site_dom_nodes", dom_nodes())
     pages.createOrReplaceTempView("site_pages_in")
-    rows = spark.sql("SELECT page_id, n.* FROM site_pages_in, LATERAL site_dom_nodes(html) AS n")
+    rows = spark.sql("SELECT * FROM site_dom_nodes(TABLE(site_pages_in))")
     return rows.groupBy("page_id").agg(
         F.count_if(~F.col("tag").startswith("#")).alias("elements"),
         F.count_if(F.col("tag") == "a").alias("links"),
@@ -148,6 +150,44 @@ def dom_nodes_lateral(spark, d):
     )
 
 
+def nav_links(spark, d):
+    """Links inside a navigation and inside its items, by containment on the node rows."""
+    nodes = exploded_nodes(_parsed(spark, d)).select("page_id", "id", "end", "tag")
+    link = F.col("tag") == "a"
+    inside_nav = contained_in(nodes, ["page_id"], F.col("tag") == "nav", link).groupBy("page_id").agg(
+        F.count("*").alias("in_nav")
+    )
+    in_item = contained_in(nodes, ["page_id"], F.col("tag").isin("li", "p", "article"), link, nearest=True)
+    in_item = in_item.groupBy("page_id").agg(F.count("*").alias("in_block"), F.countDistinct("outer_id").alias("blocks"))
+    return inside_nav.join(in_item, "page_id", "full").select(
+        "page_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("in_nav", "in_block", "blocks")]
+    )
+
+
+def byte_bodies(spark, d):
+    """Pages as servers send them: encoded in several charsets, declared in several ways, and some with bad bytes."""
+    pages = spread(_raw(spark, d).select("page_id", "html"))
+    western = F.col("html").rlike("^[\\x00-\\x7f\\xa0-\\xff]*$")
+    bare = F.regexp_replace("html", r'<meta charset="utf-8">', "")
+    kind = F.pmod("page_id", F.lit(5))
+    pages = pages.withColumns({"kind": F.when((kind == 1) & ~western, 0).otherwise(kind), "bare": bare})
+    k = F.col("kind")
+    body = (
+        F.when(k == 1, F.encode("bare", "ISO-8859-1"))
+        .when(k == 2, F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode("bare", "UTF-16LE")))
+        .when(k == 3, F.concat(F.encode("bare", "UTF-8"), F.lit(bytearray(b"\x80\xff"))))
+        .when(k == 4, F.encode("bare", "UTF-8"))
+        .otherwise(F.encode("html", "UTF-8"))
+    )
+    sent = pages.select(
+        "page_id", body.alias("html"), F.concat(F.lit("https://bytes.example/"), "page_id").alias("url"),
+        F.when(k == 1, "text/html; charset=latin1").otherwise("text/html").alias("content_type"),
+    )
+    read = sent.select("page_id", body_parts(F.col("html"), F.col("content_type")).alias("b"))
+    texts = S.as_pages(sent).select("page_id", F.md5("html").alias("text_md5"))
+    return texts.join(read.select("page_id", "b.charset"), "page_id")
+
+
 # --- Contacts and mentions ------------------------------------------------------------
 
 
@@ -267,6 +307,13 @@ def social_links(spark, d):
     return _parsed(spark, d).select("page_id", F.size(found).alias("n_social"))
 
 
+def social_profiles(spark, d):
+    """Profiles that the supplier sites link to, by a join of host suffixes with the rule table."""
+    parsed = X.structured_pages(parse_pages(with_site_url(S.valid_pages(_supplier_corpus(spark, d))).select("page_id", "site", "site_url", "url", "headers", "html")))
+    pages = parsed.select("page_id", "site", F.col("site_url").alias("url"), "anchors")
+    return links.social_table(links.link_table(pages), links.social_rules(spark)).drop("site")
+
+
 def contact_page(spark, d):
     found = X.contact_page(F.col("nodes"), F.col("url"), X.key_pages(F.col("url")))
     return _parsed(spark, d).select("page_id", found.alias("contact_page"))
@@ -458,11 +505,11 @@ QUERIES: dict[str, Query] = {
     for f in (
         url_canonical, seed_normalize, url_host_path, url_resolution, domain_name, tracking_urls,
         key_pages, key_page_counts, page_title, page_text, page_text_parsed, page_h1,
-        html_tokens_by_tag, dom_tag_counts, dom_nodes_lateral, emails_pages, emails_documents,
+        html_tokens_by_tag, dom_tag_counts, dom_nodes_lateral, nav_links, byte_bodies, emails_pages, emails_documents,
         phones_pages, phones_documents, email_domains_topk, role_mentions, target_mentions,
         address_candidates, promotional_docs, promotional_turns, login_signals, proof_signals,
         company_name, tagline, what_they_do, offerings, targets, physical_address, footer_contacts,
-        social_links, contact_page, page_links, internal_links, prioritized_top5, followed_links,
+        social_links, social_profiles, contact_page, page_links, internal_links, prioritized_top5, followed_links,
         site_first_nonempty, site_ordered_union, site_bool_or, site_map_last, site_pages, site_budget,
         fetch_outcomes, robots_notes, crawl_dfs, crawl_bfs, site_records, supplier_walk_dfs,
         supplier_walk_bfs, supplier_records, login_override,

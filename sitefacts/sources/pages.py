@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sitefacts.functions.charset import decode_body
 from sitefacts.functions.urls import canonical_url, normalize_url, url_host
 
 # Columns of a page table; a corpus needs ``url`` and ``html``, the others default to null.
@@ -25,10 +27,14 @@ PAGE_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in PAGE_COLUMNS.items())
 def as_pages(df: DataFrame) -> DataFrame:
     """Give a corpus the page-table columns: canonical ``url``, ``site`` = host of the URL.
 
-    ``page_id`` orders pages that share a URL; without the column the HTML's hash does.
+    ``page_id`` orders pages that share a URL; without the column the HTML's hash does. Byte bodies, a
+    binary ``html``, are decoded; see ``functions.charset``.
     """
     present = set(df.columns)
     derived = {"url": canonical_url(F.col("url"))}
+    if "html" in present and isinstance(df.schema["html"].dataType, T.BinaryType):
+        kind = F.col("content_type") if "content_type" in present else F.lit(None).cast("string")
+        df = df.withColumn("html", decode_body(F.col("html"), kind))
     if "page_id" not in present:
         derived["page_id"] = F.xxhash64("url", "html")
     if "site" not in present:
