@@ -72,6 +72,32 @@ def bucketed(
     return spark.table(table)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark drop shuffle files that nothing refers to.
+
+    For jobs of many rounds, whose early rounds would otherwise take up disk until the end.
+    """
+    for frame in frames:
+        files = frame.inputFiles()
+        if not files:
+            continue
+        spark = frame.sparkSession
+        application, name = spark.sparkContext.applicationId, files[0].rsplit("/", 2)[1]
+        if name in _TABLES.get(application, []):
+            _TABLES[application].remove(name)
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in [p for p in _STAGED.get(application, []) if p.endswith(f"/{name}")]:
+            _STAGED[application].remove(path)
+            _delete(spark, path)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete what this application has staged so far; call it when its results are written.
 
@@ -80,10 +106,8 @@ def drop_staged(spark: SparkSession) -> int:
     for table in _TABLES.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, path)
     return len(paths)
 
 

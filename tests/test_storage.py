@@ -51,3 +51,12 @@ def test_pages_without_a_host_or_an_id(spark):
         "site", "url", "page_id", F.lit("ok").alias("outcome"), F.array(F.lit("u")).alias("links")
     )
     assert [(r.url, r.outcome) for r in unique_pages(facts).collect()] == [("http://a.io/x", "ok")]
+
+
+def test_forget_deletes_single_tables(spark, tmp_path):
+    kept, gone = (storage.staged(spark.range(5), name, str(tmp_path)) for name in ("kept", "gone"))
+    table = storage.bucketed(spark.range(9).selectExpr("id", "id % 3 AS k"), "sorted", ["k"], str(tmp_path), buckets=3)
+    assert sorted(r.id for r in table.collect()) == list(range(9)) and kept.count() == 5
+    storage.forget(gone, table, spark.range(3))
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"]
+    assert not any(t.name.startswith("sorted_") for t in spark.catalog.listTables())
