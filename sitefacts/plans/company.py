@@ -82,9 +82,11 @@ def picked_facts(pages: DataFrame, picked: DataFrame, cfg: ExtractConfig = DEFAU
     return unique_pages(_outcomes(page_facts(parse_pages(good), cfg), FACTS))
 
 
-def _copy_order() -> Column:
+def _copy_order(columns: list[str]) -> Column:
+    """By ``page_id``, then by content; a facts table without ``copy`` goes by outcome and links."""
     # a null struct would lose the URL; a null id only comes first
-    return F.struct("page_id", "copy", "outcome", "note")
+    names = [c for c in ("page_id", "copy", "outcome", "note") if c in columns]
+    return F.struct(*names, *([] if "copy" in columns else [F.xxhash64("outcome", "links")]))
 
 
 def unique_pages(facts: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def unique_pages(facts: DataFrame) -> DataFrame:
     row per task; the later joins on ``(site, url)`` then meet each key once.
     """
     rest = [c for c in facts.columns if c not in ("site", "url")]
-    picked = facts.groupBy("site", "url").agg(F.min_by(F.struct(*rest), _copy_order()).alias("f"))
+    picked = facts.groupBy("site", "url").agg(F.min_by(F.struct(*rest), _copy_order(rest)).alias("f"))
     return picked.select("site", "url", "f.*")
 
 
