@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefacts.sources.storage import spread, staged
+from sitefacts.sources.storage import bucketed, forget, spread, staged
 
 #: Words in a phrase at most, occurrences at least, phrases reported per language.
 LONGEST, LEAST, TOP = 5, 100, 2000
@@ -269,11 +269,15 @@ def _survivors(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows of phrases with ``least`` occurrences over all shards, with their total and a number.
 
     A phrase's number is the smallest ``code`` of its rows: a shard names it, as no two phrases of a
-    length share a code. One row per shard and phrase is shuffled; nothing is collected.
+    length share a code. One row per shard and phrase is shuffled; nothing is collected. Only the row
+    that gives the number keeps ``keys`` and total, which speak for the others too.
     """
     over = Window.partitionBy(*keys)
     totals = counted.withColumn("total", F.sum("count").over(over)).withColumn("id", F.min("code").over(over))
-    return totals.filter(F.col("total") >= least)
+    named = F.col("id") == F.col("code")
+    return totals.filter(F.col("total") >= least).select(
+        "code", "id", *[F.when(named, F.col(c)).alias(c) for c in (*keys, "total")]
+    )
 
 
 _CODE = 27  # bits of a node's number inside its shard
@@ -334,7 +338,7 @@ def phrase_tables(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, s
     )
     schema = "shard long, lang string, total long, ids binary, words array<binary>, counts array<long>"
     shards = staged(texts.mapInArrow(_to_shards(shard_words), schema), "shards")
-    totals = shards.groupBy("lang").agg(F.sum("total").alias("n"))
+    totals = staged(shards.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
     counted = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("node", "w")).select(
         "lang", F.col("w.words").alias("word"), F.shiftleft("shard", _CODE).bitwiseOR(F.col("node")).alias("code"),
         F.col("w.counts").alias("count"),
@@ -352,10 +356,13 @@ def phrase_tables(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, s
     sequences = shards.select("shard", "ids")
     for length in range(2, longest + 1):
         back = alive.select(F.shiftright("code", _CODE).alias("shard"), F.col("code").bitwiseAND(F.lit((1 << _CODE) - 1)).alias("node"), "id")
-        sequences = staged(
-            sequences.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(_reduce(length - 1), "shard long, ids binary, parts binary"),
-            f"sequences-{length}",
+        reduced = sequences.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(
+            _reduce(length - 1), "shard long, ids binary, parts binary"
         )
+        # by shard, as the next round wants them: that one shuffles its phrases only
+        earlier, sequences = sequences, bucketed(reduced, f"sequences_{length}", ["shard"], dealt=True)
+        del reduced, back
+        forget(earlier, alive)
         counted = sequences.mapInArrow(_count_phrases(length), "head long, tail long, code long, count long")
         alive = staged(_survivors(counted, ["head", "tail"], least), f"phrases-{length}")
         first = found.select(F.col("id").alias("head"), "lang", F.col("words").alias("start"), F.col("a").alias("of_head"), "heads")
@@ -369,6 +376,8 @@ def phrase_tables(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, s
             f"known-{length}",
         )
         every.append(found)
+        del counted, first, last
+    forget(sequences, alive)
     tables = every[0].withColumn("m", F.lit(1))
     for m, more in enumerate(every[1:], 2):
         tables = tables.unionByName(more.withColumn("m", F.lit(m)))
