@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from sitefacts.llm.common import TwoGenerations
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept in each worker's cache.
-CACHED = 300_000
+#: Words kept in each worker's cache; longer words are counted on their own and not kept.
+CACHED, LONG = 300_000, 256
 #: How the vocabulary file splits normalised text (fixed value, checked against the file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Python splits at these, the vocabulary's white space does not include them.
@@ -51,7 +52,8 @@ class PrefixCounter:
             raise ValueError(f"{path}: only vocabularies that split by {SPLIT} are counted")
         self.end = model["end_of_word_suffix"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.tokens = set(model["vocab"])
+        #: Each token to itself, so that tables hold one string per token.
+        self.tokens = {t: t for t in model["vocab"]}
         self.longest = max(map(len, self.tokens))
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)))
@@ -121,12 +123,31 @@ class PrefixCounter:
             states[prefix] = self._last(prefix, "", states)
         return self._last(word, self.end, states)[1]
 
+    def _count_long(self, word: str) -> int:
+        """The same over offsets of one long word: the last token and the count at each, and no prefixes."""
+        tokens, apart, longest = self.tokens, self.apart, self.longest
+        lasts, counts = [""], array("q", [0])
+        for size in range(1, len(word) + 1):
+            end = self.end if size == len(word) else ""
+            for start in range(max(0, size - longest), size):
+                token = tokens.get(word[start:size] + end)
+                if token is not None:
+                    pair = (lasts[start], token)
+                    stays = apart.get(pair)
+                    if stays or stays is None and self._stays(pair):
+                        lasts.append(token)
+                        counts.append(counts[start] + 1)
+                        break
+            else:
+                raise ValueError(f"no token ends a word of {len(word)} letters at {size}")
+        return counts[-1]
+
     def _letters(self, word: str) -> str:
         return "".join(self.letters[b] for b in word.encode("utf-8"))
 
     def _count_word(self, word: str) -> int:
         spelled = word if word.isascii() and word.isprintable() else self._letters(word)
-        return self._count_spelled(spelled)
+        return self._count_long(spelled) if len(spelled) > LONG else self._count_spelled(spelled)
 
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of each prefix of ``word`` that ends between characters, as if the text ended there."""
@@ -145,8 +166,14 @@ class PrefixCounter:
         return self.split.findall(chunk)
 
     def _count_chunk(self, chunk: str) -> int:
+        if len(chunk) > LONG:
+            return sum(self._count_word(w) if len(w) > LONG else self.words[w] for w in self._pieces(chunk))
         return sum(map(self.words.__getitem__, self._pieces(chunk)))
 
+    def _count_chunks(self, chunks: list[str]) -> list[int]:
+        known = self.chunks
+        return [known[c] if len(c) <= LONG else self._count_chunk(c) for c in chunks]
+
     def _plain(self, text: str) -> list[str]:
         if _SEPARATORS.search(text):
             return regex.split(r"\s+", text)
@@ -155,12 +182,12 @@ class PrefixCounter:
     def chunk_counts(self, text: str) -> np.ndarray:
         """Tokens of each stretch of a text between white space, special strings apart, in order."""
         if not any(s in text for s in self.special):
-            return np.fromiter(map(self.chunks.__getitem__, self._plain(text)), np.int64)
+            return np.array(self._count_chunks(self._plain(text)), np.int64)
         counts, at = [], 0
         for hit in self.specials.finditer(text):
-            counts += [*map(self.chunks.__getitem__, self._plain(text[at : hit.start()])), 1]
+            counts += [*self._count_chunks(self._plain(text[at : hit.start()])), 1]
             at = hit.end()
-        return np.array([*counts, *map(self.chunks.__getitem__, self._plain(text[at:]))], np.int64)
+        return np.array([*counts, *self._count_chunks(self._plain(text[at:]))], np.int64)
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Exact count after each stretch; entry 0 is the empty prefix."""

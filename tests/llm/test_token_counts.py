@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -56,3 +57,24 @@ def test_encoder_equals_the_library():
         text = "".join(rng.choices(PIECES, k=rng.randint(0, 12)))
         ids = own.whole.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids), repr(text)
+
+
+def test_long_words_take_little_memory(word_vocabulary):
+    """A run of letters of any length is counted by offsets; as the library does it."""
+    import tracemalloc
+
+    own, rng = token_counts.counter(), random.Random(5)
+    for size in (300, 5000, 60_000):
+        word = "".join(rng.choices("abcdeinorst", k=size))
+        assert own.chunk_counts(word).sum() == len(word_vocabulary.encode(word, add_special_tokens=False).ids)
+    mixed = "été" * 3000 + "x" * 400 + "12" * 300 + " " + "日本" * 500
+    assert own.chunk_counts(mixed).sum() == len(word_vocabulary.encode(mixed, add_special_tokens=False).ids)
+    word = "".join(rng.choices("abcdeinorst", k=1_000_000))
+    tracemalloc.start()
+    own._count_word(word[:200_000])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 30e6
+    begun = time.time()
+    assert own.chunk_counts(word).sum() > 200_000 and time.time() - begun < 60
+    assert not any(len(w) > token_counts.LONG for w in own.words) and not any(len(w) > token_counts.LONG for w in own.states)
