@@ -163,14 +163,15 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pack(pieces: DataFrame, window: int = 2048, shard: int = SHARD) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the pieces of ``cut_documents``.
 
-    The pieces are counted, then dealt by a hash of (doc_id, start) to shards of about ``shard`` rows,
-    so long documents and repeated rows spread like any others. ``sequence_id`` is unique over all
+    The pieces are counted, then dealt by a hash of (doc_id, start) and their row to shards of about
+    ``shard`` rows, so long documents, repeated rows and rows without an id spread like any others. ``sequence_id`` is unique over all
     shards: the shard in the upper bits, the window of the shard in the lower 32. Sequences hold at
     most ``window`` tokens without gaps; the rest is padding, of which a length that is a power of
-    two needs none. Ties go by doc_id and start, so reruns agree. No rows in, no rows out.
+    two needs none. Ties go by doc_id and start, so reruns over the same files agree. ``pieces`` is a written
+    table. No rows in, no rows out.
     """
     shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
