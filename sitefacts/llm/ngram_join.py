@@ -13,6 +13,7 @@ links in proportion to their size, and still no component is missed.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts.llm.common import block_cells, components
-from sitefacts.sources.storage import staged
+from sitefacts.sources.storage import forget, staged
 
 #: Tokens that are known as frequent, at most: those that most documents hold. It only decides the order
 #: of tokens, which may be any; beyond it tokens count as rare and cost more comparisons.
@@ -37,8 +38,8 @@ BITS = 2048
 PARTNERS = (3, 12, None)
 #: Members of a list that are compared in one task; longer lists are compared by pairs of blocks.
 BLOCK = 4096
-#: Ids that may be broadcast to pick documents by; more are joined by shuffle.
-BROADCAST_IDS = 4_000_000
+#: Blocks into which the pairs of a document are dealt to be verified.
+VERIFY_BLOCKS = 16
 _FLUSH = 4_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -252,11 +253,14 @@ def close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets reach the threshold, exactly."""
-    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """Those pairs (a, b) whose whole sets reach the threshold, exactly.
+
+    Of a pair only one set travels with it, that of the document in fewer pairs; the other's, a star's centre
+    say, is sent once for each block of its pairs.
+    """
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("times")), "ids")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = own.join(wanted, own["doc_id"] == wanted["id"], "left_semi")
+    texts = own.join(ids.select("id"), own["doc_id"] == ids["id"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,22 +268,34 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
     sets = staged(texts.mapInArrow(run, "id long, tokens binary").dropDuplicates(["id", "tokens"]), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b"
+    times = [ids.select(F.col("id").alias(c), F.col("times").alias(f"n{c}")) for c in "ab"]
+    turned = pairs.join(times[0], "a").join(times[1], "b")
+    swap = F.struct("na", "a") < F.struct("nb", "b")
+    turned = turned.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"))
+    turned = turned.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(VERIFY_BLOCKS)).cast("int"))
+    blocks = turned.select(F.col("centre").alias("id"), "block").distinct()
+    centres = blocks.join(sets, "id").select(
+        F.col("id").alias("of"), F.col("block").alias("part"), F.col("tokens").alias("set")
     )
+    others = turned.join(sets.withColumnRenamed("id", "other"), "other").select("centre", "block", "other", "tokens")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    def linked(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        known = [np.frombuffer(x, np.uint64) for x in one["set"]]
+        for id_, tokens in zip(many["other"].tolist(), many["tokens"], strict=True):
+            y = np.frombuffer(tokens, np.uint64)
+            for x in known:
                 merged = np.sort(np.concatenate([x, y]), kind="stable")
                 overlap = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap) and overlap > 0)
-            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
-            yield rows.filter(pa.array(keep, pa.bool_()))
+                if overlap and 100 * overlap >= percent * (len(x) + len(y) - overlap):
+                    found.append((min(int(many["centre"].iloc[0]), id_), max(int(many["centre"].iloc[0]), id_)))
+                    break
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long").distinct()
+    met = centres.groupBy("of", "part").cogroup(others.groupBy("centre", "block")).applyInPandas(linked, "a long, b long")
+    links = staged(met.distinct(), "linked")
+    forget(ids, sets)
+    return links
 
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -297,15 +313,19 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     copies = marked.select("doc_id", "mark").join(firsts.filter("copies > 1"), "mark").filter("doc_id != first").select(
         F.col("first").alias("a"), F.col("doc_id").alias("b")
     )
+    copies = staged(copies, "copies")
+    vertices = staged(marked.select(F.col("doc_id").alias("id")).distinct(), "vertices")
+    sizes = staged(all_rows.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
     # sets of fewer than 9 link with equal ones only: two different sets that link have at least
     # 100 / (100 - percent) shingles together
-    least = needed(-(-100 // (100 - percent)), percent)
+    least = needed(-(-100 // max(1, 100 - percent)), percent) if percent < 100 else sys.maxsize
     later = marked.select("doc_id", "mark").join(firsts.filter("copies > 1"), "mark").filter("doc_id != first")
     single = marked.filter(F.col("n") >= least).join(
         later.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")),
         (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left_anti",
     )
     single = staged(single.select("doc_id", "n", "bits", "prefix"), "single")
+    forget(all_rows, firsts)
     lists = staged(listed(single.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))), "lists")
 
     # each document's own number of matches, from the lengths of the lists that its prefixes meet
@@ -327,27 +347,29 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         asks.select(F.col("doc_id").alias("b"), F.col("matches").alias("mb")), "b"
     ).filter(F.col("shared") >= F.least("ma", "mb")).select("a", "b")
     enough = close_bitmaps(enough, single.select("doc_id", "n", "bits"), percent)
-    long_lists = used.filter(F.col("size") > SMALL_LIST).drop("size").join(
-        single.select("doc_id", "n", "bits"), ["doc_id", "n"]
-    )
-    cells = staged(block_cells(long_lists, "token", "doc_id", BLOCK), "cells")
-    stars = sieve(cells.withColumn("component", F.col("doc_id")), percent, across=False)
+    bitmaps = single.select("doc_id", "n", "bits")
+    # members of long lists without their bitmaps, which only follow where members are compared
+    cells = staged(block_cells(used.filter(F.col("size") > SMALL_LIST).drop("size"), "token", "doc_id", BLOCK), "cells")
+    stars = sieve(cells.join(bitmaps, ["doc_id", "n"]).withColumn("component", F.col("doc_id")), percent, across=False)
     tried = staged(enough.unionByName(stars).distinct(), "pairs")
+    forget(lists, used, chosen)
     links = staged(verify(docs, tried, size, percent).unionByName(copies), "links")
-
-    vertices = staged(marked.select(F.col("doc_id").alias("id")).distinct(), "vertices")
     united = staged(components(vertices, links), "components")
     # what stars left open: pairs of one list in different components. A few partners for each member
-    # first, which unite most of a large group; the last turn leaves no pair out.
+    # first, which unite most of a large group; the last turn leaves no pair out. A list that is one
+    # component stays one, so each turn looks at what the last one left open only.
     for turn, partners in enumerate(PARTNERS):
-        met = cells.join(united.withColumnRenamed("id", "doc_id"), "doc_id")
+        met = staged(cells.join(united.withColumnRenamed("id", "doc_id"), "doc_id"), "met")
         open_lists = met.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        rest = sieve(met.join(open_lists.select("token"), "token"), percent, True, partners, turn)
+        left = staged(met.join(open_lists.select("token"), "token", "left_semi"), "open")
+        forget(cells, met)
+        cells = left.drop("component")
+        rest = sieve(left.join(bitmaps, ["doc_id", "n"]), percent, True, partners, turn)
         rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             continue
         tried = tried.unionByName(rest)
-        more = staged(verify(docs, rest, size, percent), "more")
+        more = verify(docs, rest, size, percent)
         if not more.isEmpty():
             # one edge from each old component to another is enough
             moved = more.join(united.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(
@@ -356,6 +378,6 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             merged = components(united.select(F.col("component").alias("id")).distinct(), moved)
             merged = merged.select(F.col("id").alias("component"), F.col("component").alias("merged"))
             united = staged(united.join(merged, "component").select("id", F.col("merged").alias("component")), "components")
-    return all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(
+    return sizes.join(
         united.withColumnRenamed("id", "__id"), F.col("doc_id") == F.col("__id"), "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

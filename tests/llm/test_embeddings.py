@@ -118,8 +118,21 @@ def test_graph_goes_on_until_hardly_an_edge_changes(spark):
     frame_ = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, vec array<double>")
     graph = neighbours.neighbour_graph(frame_, 4, reverse=2)
     assert graph.filter("new").count() * 1000 < 3000 * 4
-    monotone = [neighbours.widths(n) for n in (0, 10_000, 20_000, 100_000, 10_000_000)]
-    assert monotone[:2] == [(30, 20, 100)] * 2 and monotone[1:] == sorted(set(monotone))
+
+
+def test_every_length_has_its_neighbours(spark):
+    """Vectors of a rare length are searched among their like, however few they are."""
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=16).tolist(), 1) for k in range(700)] + [(1000 + 10 * k, rng.normal(size=7).tolist(), 1) for k in range(40)]
+    rows += [(2000, [1.0, 2.0], 1), (2001, [1.0, 2.5], 1), (2050, [1.0, 2.0, 3.0], 1)]
+    got = {}
+    for r in neighbours.nearest(frame(spark, rows)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got[2000] == {2001} and 2050 not in got
+    for part in (rows[:700], rows[700:740]):
+        want = exact(part, 50, 5)
+        hits = sum(len(got[q] & {v for v, _ in found}) for q, found in want.items())
+        assert hits >= 0.9 * 5 * len(want)
 
 
 def test_few_candidates(spark):
