@@ -191,36 +191,56 @@ def as_mails(conversations: DataFrame) -> DataFrame:
     """Conversations as mail threads: every message quotes the one it answers, and what that one quoted.
 
     Every third message answers the one before the last. Lines are quoted with a mark per level.
+    Messages without conv_id or turn quote nothing.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
     text = F.coalesce("text", F.lit(""))
+    rows = conversations.select("conv_id", "turn", "role", text.alias("text"))
+    placed = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    # numbered by parts of turns and joined by number, so a long conversation is no single task
+    placed = running_totals(placed, "conv_id", F.floor(F.col("turn") / PART), [F.col("turn")], F.lit(1), "__n")
+    placed = staged(placed, "numbered")
+    back = F.when(F.col("turn") % 3 == 2, 2).otherwise(1)
+
+    def before(name: str) -> DataFrame:
+        return placed.select(F.col("conv_id").alias(f"c_{name}"), F.col("__n").alias(f"n_{name}"), F.col("text").alias(name))
 
     def quote(c, mark: str):
         return F.regexp_replace(c, "(?m)^", mark)
 
-    up = F.when((F.col("turn") % 3 == 2), F.lag(text, 2).over(order)).otherwise(F.lag(text, 1).over(order))
-    further = F.when((F.col("turn") % 3 == 2), F.lag(text, 3).over(order)).otherwise(F.lag(text, 2).over(order))
-    nested = F.coalesce(F.concat(F.lit("\n"), quote(further, "> > ")), F.lit(""))
-    mail = F.when(up.isNull(), text).otherwise(
-        F.concat(F.lit("Someone wrote:\n"), quote(up, "> "), nested, F.lit("\n\n"), text)
+    met = placed
+    for name, steps in (("up", back), ("further", back + 1)):
+        other = before(name)
+        met = met.join(other, (F.col("conv_id") == F.col(f"c_{name}")) & (F.col("__n") - steps == F.col(f"n_{name}")), "left")
+    nested = F.coalesce(F.concat(F.lit("\n"), quote(F.col("further"), "> > ")), F.lit(""))
+    mail = F.when(F.col("up").isNull(), F.col("text")).otherwise(
+        F.concat(F.lit("Someone wrote:\n"), quote(F.col("up"), "> "), nested, F.lit("\n\n"), F.col("text"))
     )
-    return conversations.select("conv_id", "turn", "role", mail.alias("text"))
+    mails = met.select("conv_id", "turn", "role", mail.alias("text"))
+    return mails.unionByName(rows.filter("conv_id IS NULL OR turn IS NULL"))
 
 
 #: What ``chats(as_mails(conversations))`` must give back, from the conversations themselves.
 ORACLE = r"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
 ), p AS (
   SELECT *, CASE WHEN turn % 3 = 2 THEN lag(text, 2) OVER w ELSE lag(text, 1) OVER w END AS up,
+         CASE WHEN turn % 3 = 2 THEN lag(text, 3) OVER w ELSE lag(text, 2) OVER w END AS further,
          lag(turn, 1) OVER w AS last
   FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 ), r AS (
-  SELECT p.conv_id, p.turn, p.role, p.text, p.last, p.up,
-         (SELECT max(m.turn) FROM m WHERE m.conv_id = p.conv_id AND m.turn < p.turn AND m.text = p.up) AS quoted
+  SELECT p.*, (SELECT max(m.turn) FROM m WHERE m.conv_id = p.conv_id AND m.turn < p.turn AND m.text = p.up) AS quoted
   FROM p
+), links AS (
+  SELECT *, coalesce(quoted, last) AS reply_to FROM r
+), threads AS (
+  SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM links WHERE reply_to IS NULL
+  UNION ALL
+  SELECT l.conv_id, l.turn, t.thread, t.depth + 1 FROM links l JOIN threads t ON l.conv_id = t.conv_id AND l.reply_to = t.turn
 )
-SELECT conv_id, turn, role, coalesce(quoted, last) AS reply_to, quoted IS NOT NULL AS linked,
-       trim(text, E' \n\t\r') AS text
-FROM r
+SELECT l.conv_id, l.turn, l.role, l.reply_to, l.quoted IS NOT NULL AS linked, t.thread, t.depth,
+       row_number() OVER (PARTITION BY l.conv_id, t.thread ORDER BY l.turn) - 1 AS position,
+       (l.up IS NOT NULL)::INT + (l.up IS NOT NULL AND l.further IS NOT NULL)::INT AS quotes,
+       trim(l.text, E' \n\t\r') AS text
+FROM links l JOIN threads t USING (conv_id, turn)
 """

@@ -216,7 +216,8 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """Fit on at most ``most_rows`` labelled documents that are not held out.
 
-    Rows with a null doc_id or quality teach nothing, and a doc_id with both labels neither. Without
+    Rows with a null doc_id or quality teach nothing, and a doc_id with both labels neither. Of rows
+    that repeat a doc_id with different texts the one with the smallest hash teaches. Without
     labels, or with one kind only, the score is their share, 0.5 if there are none.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -225,7 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     texts = docs.select(F.col("doc_id").alias("__doc"), "text")
     # the chosen rows are at most most_rows, so broadcasting them is bounded
     met = texts.join(F.broadcast(chosen.select("doc_id", "quality")), F.col("__doc") == F.col("doc_id"))
-    sample = staged(met.select("doc_id", "text", "quality"), "labelled")
+    # of rows that repeat a doc_id one text teaches, always the same
+    once = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    sample = staged(met.groupBy("doc_id", "quality").agg(once).select("doc_id", "text", "quality"), "labelled")
     vectors = word_vectors(sample)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -236,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
                 {"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [pool.pooled(t).tolist() for t in batch["text"]]}
             )
 
-    pooled = sample.mapInPandas(run, "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"])
+    pooled = sample.mapInPandas(run, "doc_id long, quality int, x array<double>")
     rows = pooled.toPandas().sort_values("doc_id")
     y = rows["quality"].to_numpy(np.float64)
     if len(set(y)) < 2:

@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through an archive and back."""
     path = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
     warc.archive_pages(table(spark, sf_dir, "pages"), path)
     records = warc.resolve_revisits(warc.read_archives(spark, path, with_payload=False))
@@ -33,41 +34,49 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by word shingles."""
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every fiftieth row."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all vectors."""
     return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table holds no quotes, so its messages first become mails that quote each other."""
     mails = chat.as_mails(table(spark, sf_dir, "conversations"))
-    return chat.chats(mails).select("conv_id", "turn", "role", "reply_to", "linked", "text")
+    return chat.chats(mails)
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

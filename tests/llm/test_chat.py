@@ -63,3 +63,22 @@ def test_long_conversation_of_equal_lines(spark, monkeypatch):
     rows = [(1, k, "user", "ok" if k == 0 else "> ok\n\nok") for k in range(200)]
     got = {r.turn: r for r in chat.chats(frame(spark, rows)).collect()}
     assert all(got[k].reply_to == k - 1 and got[k].depth == k and got[k].position == k and got[k].thread == 0 for k in range(1, 200))
+
+
+def test_mails_of_long_conversations(spark, monkeypatch):
+    """Numbered by parts of turns: every message quotes the right ones, at any length."""
+    monkeypatch.setattr(chat, "PART", 8)
+    rows = [(c, 2 * k + c, "user", f"text {c} {k}\nline" if k % 7 else None) for c in (1, 2) for k in range(60)]
+    rows += [(None, 1, "user", "alone"), (1, None, "user", "no turn")]
+    got = {(r.conv_id, r.turn): r.text for r in chat.as_mails(frame(spark, rows).repartition(5)).collect()}
+    assert len(got) == len(rows) and got[(None, 1)] == "alone" and got[(1, None)] == "no turn"
+    quote = lambda text, mark: "\n".join(mark + line for line in text.split("\n")) if text else ""
+    for c in (1, 2):
+        texts = [r[3] or "" for r in rows if r[0] == c and r[1] is not None]
+        for k, text in enumerate(texts):
+            back = 2 if (2 * k + c) % 3 == 2 else 1
+            up = texts[k - back] if k >= back else None
+            further = texts[k - back - 1] if k > back else None
+            nested = "\n" + quote(further, "> > ") if further is not None else ""
+            want = text if up is None else f"Someone wrote:\n{quote(up, '> ')}{nested}\n\n{text}"
+            assert got[(c, 2 * k + c)] == want

@@ -80,3 +80,16 @@ def test_query(spark, testdata):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{testdata}/labels.parquet").collect()}
     mine = [r for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([r.predicted == labels[r.doc_id] for r in mine]) > 0.9
+
+
+def test_repeated_ids_teach_one_text(spark, words):
+    """Of rows that repeat a doc_id with different texts always the same one teaches."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:60]
+    rows = [(i, words(30, 7 * i + k) + (" good" if i % 2 else " bad") * 5) for i in ids for k in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    scores = []
+    for part in (rows, rows[::-1]):
+        docs = spark.createDataFrame(part, "doc_id long, text string").repartition(4)
+        got = quality.classify(docs, labels).join(docs.distinct(), "doc_id").select("doc_id", "score").distinct().collect()
+        scores.append(sorted((r.doc_id, round(r.score, 9)) for r in got))
+    assert scores[0] == scores[1]
