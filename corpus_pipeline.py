@@ -24,8 +24,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by word shingles (five words, similarity 0.8), the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document: one of them stays, the first by its text. Rows with a
-    null doc_id stay.
+    Rows that repeat a doc_id are one document: one of them stays, that with the smallest hash of its
+    text. Rows with a null doc_id stay.
     """
     groups = ngram_join.classes(docs.select("doc_id", "text"), size=5, percent=80)
     dropped = groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
