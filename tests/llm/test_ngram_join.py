@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sitefacts.llm import ngram_join
@@ -81,6 +82,21 @@ def test_nulls_repeats_and_no_rows(spark, make_docs, words):
     assert ngram_join.classes(make_docs([(1, None)])).collect()[0].component_id == 1
 
 
-def test_bitmaps_never_exceed_the_distance(words):
-    a, b = (set(ngram_join.shingles(words(300, k)).tolist()) for k in (1, 2))
-    assert len(a ^ b) >= 0 and ngram_join.needed(600, 90) == 540 and ngram_join.needed(9, 90) == 9
+def test_bitmaps_never_exceed_the_distance(make_docs, words):
+    """The parity bitmaps of two sets differ in no more bits than the sets differ in shingles."""
+    texts = [words(200, k) for k in range(6)] + [words(200, 0) + " " + words(n, 90 + n) for n in (1, 5, 60, 2500)] + ["one two"]
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = ngram_join.features(make_docs(list(enumerate(texts))), 3, 90, none).collect()
+    sets = {r.doc_id: set(ngram_join.shingles(texts[r.doc_id]).tolist()) for r in rows}
+    bits = {r.doc_id: np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows}
+    apart = {(a, b): (int((bits[a] != bits[b]).sum()), len(sets[a] ^ sets[b])) for a in bits for b in bits}
+    assert all(of_bits <= of_sets for of_bits, of_sets in apart.values())
+    assert apart[0, 6][0] > 0 and apart[0, 0] == (0, 0) and any(0 < x < y for x, y in apart.values())
+    assert ngram_join.needed(600, 90) == 540 and ngram_join.needed(9, 90) == 9
+
+
+def test_equal_sets_only(spark, make_docs, words):
+    """At 100 percent only equal sets link."""
+    docs = make_docs([(1, words(40, 1)), (2, words(40, 1)), (3, words(40, 1) + " more"), (4, words(5, 2)), (5, words(5, 2).upper())])
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(docs, percent=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -47,5 +47,16 @@ def test_pieces(spark, make_docs, words):
         assert sum(r.length for r in parts) == len(ids) // 4 == parts[0].doc_tokens
         for r in parts:
             assert r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
-    assert len(pieces[1]) == 2 * len(pieces[1]) // 2 and len(pieces[None]) == 1
+    lengths = sorted((r.start, r.length) for r in pieces[1])
+    assert lengths[::2] == lengths[1::2] and len(pieces[None]) == 1  # the repeated row has its pieces too
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_spread_over_shards(spark, make_docs):
+    """Null ids and repeats are dealt like any other rows, so no shard holds them all."""
+    docs = make_docs([(None, "x")] * 300 + [(7, "y")] * 300)
+    rows = packing.pack_documents(docs, window=64, shard=40).collect()
+    shards = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 600 and len(shards) == 15 and max(shards.values()) < 80
+    of_null = Counter(r.sequence_id >> 32 for r in rows if r.doc_id is None)
+    assert len(of_null) >= 14
