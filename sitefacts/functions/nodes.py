@@ -135,16 +135,29 @@ def raw_text(nodes: Column) -> Column:
     return F.array_join(F.transform(F.filter(nodes, tag_is("#text")), lambda n: n["text"]), "")
 
 
+#: Nodes of an element that are looked at before all of them are.
+FIRST_LOOK = 64
+
+
 def only_string(nodes: Column, node: Column) -> Column:
-    """The string of an element that holds exactly one string down a chain of only children."""
+    """The string of an element that holds exactly one string down a chain of only children.
+
+    Whether it may be a chain is decided from its first nodes. So elements that are never closed, and
+    hold the rest of the page each, cost a fixed look and not their size.
+    """
+
+    def kept(below: Column) -> Column:
+        return F.filter(below, lambda n: ~n["tag"].isin(*REMOVED) & (n["tag"] != "#raw"))
+
+    def is_chain(below: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(below, lambda n: n["parent"]))) == F.size(below)
 
     def only(below: Column) -> Column:
-        is_chain = F.size(F.array_distinct(F.transform(below, lambda n: n["parent"]))) == F.size(below)
         last = F.try_element_at(below, F.lit(-1))
-        return F.when(is_chain & last["tag"].startswith("#"), last["text"])
+        return F.when(is_chain(below) & last["tag"].startswith("#"), last["text"])
 
-    below = F.filter(inside(nodes, node), lambda n: ~n["tag"].isin(*REMOVED) & (n["tag"] != "#raw"))
-    return let(below, only)
+    start = F.slice(nodes, node["id"] + 2, F.least(node["end"] - node["id"], F.lit(FIRST_LOOK)))
+    return F.when(let(kept(start), is_chain), let(kept(inside(nodes, node)), only))
 
 
 def links_by_text(nodes: Column, pattern: str) -> Column:

@@ -156,3 +156,22 @@ def test_numeric_address_parts(spark):
     )
     page = X.structured_pages(parse_pages(spark.createDataFrame([(html, "https://a.io/")], "html string, url string")))
     assert page.select(X.physical_address(F.col("nodes"), F.col("marked"), F.col("text")).alias("a")).first().a == "Main 5, 53111, 1.5"
+
+
+def test_contact_page_of_unclosed_links(spark):
+    """Links that are never closed hold the rest of the page each; the look-up stays linear."""
+    from sitefacts.functions import nodes as N
+
+    def found(count):
+        html = "".join(f'<a href="/p{i}">word {i} <b>x</b>' for i in range(count)) + '<p><a href="/c"><i><b>Contact us</b></i></a></p>'
+        page = parse_pages(spark.createDataFrame([(html,)], "html string"))
+        begun = time.time()
+        link = page.select(N.links_by_text(F.col("nodes"), "contact").alias("l")).first().l
+        return [n.attrs["href"] for n in link], time.time() - begun
+
+    assert found(10)[0] == ["/c"]
+    links, seconds = found(8000)
+    assert links == ["/c"] and seconds < 12
+    chain = "<div>" * 90 + "deep contact" + "</div>" * 90
+    page = parse_pages(spark.createDataFrame([(f'<a href="/d">{chain}</a><a href="/e">contact<br></a><a href="/f">contact <!-- c --></a>',)], "html string"))
+    assert [n.attrs["href"] for n in page.select(N.links_by_text(F.col("nodes"), "contact").alias("l")).first().l] == ["/d"]
