@@ -215,7 +215,7 @@ def _descent(codes: DataFrame, neighbours: int, reverse: int) -> DataFrame:
         before, lists = lists, staged(_merge(old.join(told, "node", "left"), neighbours), "graph")
         forget(before)
         changed = lists.agg(F.sum(F.size(F.filter("flags", lambda x: x))).alias("n")).first()["n"] or 0
-        if changed * 1000 < count * neighbours:
+        if not changed or changed * 1000 < count * neighbours:
             return lists
     raise RuntimeError("the neighbour graph does not converge")
 
