@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from sitefacts.plans.queries import QUERIES  # noqa: E402
+from sitefacts.sources.storage import drop_staged  # noqa: E402
 
 HEADLINE = (
     "page_text", "emails_documents", "phones_documents", "role_mentions", "target_mentions",
@@ -50,6 +51,7 @@ def main() -> None:
             start = time.perf_counter()
             run(QUERIES[name](spark, sf_dir))
             seconds[name] = round(time.perf_counter() - start, 3)
+            drop_staged(spark)
     print(
         json.dumps(
             {

@@ -20,7 +20,9 @@ from sitefacts.sources.pages import as_pages, valid_pages
 from sitefacts.sources.sinks import write_records
 from sitefacts.sources.storage import checkpoint_dir, spread
 
-K = F.col("k")
+def _k() -> Column:
+    """Customer number."""
+    return F.col("k")
 
 
 def _text(*parts: Column | str) -> Column:
@@ -31,7 +33,7 @@ def _case(by: int, *values: Column | str) -> Column:
     """Value number ``k % by``, empty beyond the last one."""
     out = F.lit("")
     for n, value in reversed(list(enumerate(values))):
-        out = F.when(K % by == n, _text(value)).otherwise(out)
+        out = F.when(_k() % by == n, _text(value)).otherwise(out)
     return out
 
 
@@ -42,7 +44,7 @@ def _corpus(spark: SparkSession, d: str, head: Column | str, body: Column | str,
     ))
     html = _text("<!DOCTYPE html><html><head>", head, "</head><body>", body, "</body></html>")
     return as_pages(customers.select(
-        K.alias("page_id"), _text("https://www.acme-", K.cast("string"), ".example", path).alias("url"), html.alias("html"),
+        _k().alias("page_id"), _text("https://www.acme-", _k().cast("string"), ".example", path).alias("url"), html.alias("html"),
         (F.lit(None).cast("map<string,string>") if headers is None else headers).alias("headers"),
     ))
 
@@ -63,15 +65,15 @@ def customer_logins(spark: SparkSession, d: str) -> DataFrame:
         '<div class="main"><form id="f"><input type="password" name="password"></form></div>',
         '<form><input type="text" name="q"></form>',
     )
-    path = _case(9, _text("/Login/", K.cast("string")), "/", "/", "/", "/", "/", "/", "/logistics", "/blogs/in")
-    headers = F.when(K % 9 == 4, F.create_map(F.lit("WWW-Authenticate"), F.lit("Basic")))
+    path = _case(9, _text("/Login/", _k().cast("string")), "/", "/", "/", "/", "/", "/", "/logistics", "/blogs/in")
+    headers = F.when(_k() % 9 == 4, F.create_map(F.lit("WWW-Authenticate"), F.lit("Basic")))
     signals = login.login_signals(_parsed(_corpus(spark, d, head, body, path, headers)))
     return signals.select("page_id", *login.LOGIN_SIGNALS, login.login_required().alias("login"))
 
 
 def customer_names(spark: SparkSession, d: str) -> DataFrame:
     """Company name from JSON-LD, meta data, title, heading, logo or domain."""
-    k, segment = K.cast("string"), F.col("segment")
+    k, segment = _k().cast("string"), F.col("segment")
     head = _case(
         7, _text('<script type="application/ld+json">{"name": "', segment, " Ltd ", k, '"}</script><title>Other</title>'),
         _text('<script type="application/ld+json">[1]</script><script type="application/ld+json">{"legalName": "', segment, " Inc ", k, '"}</script>'),
@@ -89,7 +91,7 @@ def customer_names(spark: SparkSession, d: str) -> DataFrame:
 
 def customer_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Tagline and summary from every place a page may have them."""
-    k, segment = K.cast("string"), F.col("segment")
+    k, segment = _k().cast("string"), F.col("segment")
     long = _text("We make ", segment, " goods for customer ", k, " and for all of the others as well.")
     head = _case(6, "", _text('<meta name="description" content=" ', long, ' ">'))
     body = _case(
@@ -107,10 +109,10 @@ def customer_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 def customer_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Address from JSON-LD, with a number among its parts, an address element or a named block."""
-    k, segment = K.cast("string"), F.col("segment")
+    k, segment = _k().cast("string"), F.col("segment")
     head = _case(4, _text(
         '<script type="application/ld+json">{"address": {"streetAddress": "', k, ' Main Road", "addressLocality": "', segment,
-        ' Town", "postalCode": ', (K + 10000).cast("string"), ', "addressCountry": ""}}</script>',
+        ' Town", "postalCode": ', (_k() + 10000).cast("string"), ', "addressCountry": ""}}</script>',
     ))
     body = _case(
         4, "", _text("<address>", k, " Side Lane<br>", segment, " Bay</address>"),
@@ -137,7 +139,7 @@ def customer_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 def customer_records_json(spark: SparkSession, d: str) -> DataFrame:
     """Records of one-page sites written as JSON lines and read back as text."""
-    k = K.cast("string")
+    k = _k().cast("string")
     body = _text("<p>", F.col("segment"), "</p><a href='mailto:k", k, "@acme.example'>m</a>")
     pages = _corpus(spark, d, _text("<title>", F.col("segment"), " House ", k, _case(2, "é"), "</title>"), body)
     path = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
