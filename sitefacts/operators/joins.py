@@ -16,11 +16,13 @@ def salted_join(rows: DataFrame, rules: DataFrame, on: list[str], spread_by: Col
     """Inner equi-join of many rows with a rule table in which each key is rare.
 
     A key may hold any share of ``rows``: these are dealt to ``salts`` parts by ``spread_by``, and
-    each rule stands in every part. Spark may still broadcast ``rules`` when it measures them as small.
+    each rule stands in every part. The hint keeps Spark from broadcasting ``rows``, which it would where
+    it knows the size of neither side well; rules that are bounded may come with ``F.broadcast``, which
+    goes before.
     """
     part = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     copies = rules.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", part).join(copies, [*on, "__salt"]).drop("__salt")
+    return rows.withColumn("__salt", part).hint("merge").join(copies, [*on, "__salt"]).drop("__salt")
 
 
 def contained_in(

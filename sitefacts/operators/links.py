@@ -73,15 +73,19 @@ def walk_links(links: Column, cfg: ExtractConfig = DEFAULT) -> Column:
 def link_table(pages: DataFrame) -> DataFrame:
     """One row per link: ``page_id, site, src_url, pos, href, link`` with the resolved parts in ``link``.
 
-    Copies of a URL stay apart by their ``page_id``.
+    Copies of a URL stay apart by their ``page_id``. Links are resolved in the page's row: behind the
+    generator, a filter on ``link`` would be pushed below it and resolve each link once for every part it names.
     """
-    pages = pages.select("page_id", "site", F.col("url").alias("src_url"), "anchors")
-    rows = unnest(pages, "anchors", "pos", "anchor").select(
-        "page_id", "site", "src_url", "pos", N.attr(F.col("anchor"), "href").alias("href"),
-        split_url(F.col("src_url")).alias("base"),
+    resolved = let(
+        split_url(F.col("url")),
+        lambda base: F.transform(
+            "anchors",
+            lambda n: let(N.attr(n, "href"), lambda href: F.struct(href.alias("href"), resolve_parts(base, href).alias("link"))),
+        ),
     )
-    link = resolve_parts(F.col("base"), F.col("href")).alias("link")
-    return rows.select("page_id", "site", "src_url", "pos", "href", link)
+    pages = pages.select("page_id", "site", F.col("url").alias("src_url"), resolved.alias("anchors"))
+    rows = unnest(pages, "anchors", "pos", "anchor")
+    return rows.select("page_id", "site", "src_url", "pos", "anchor.href", "anchor.link")
 
 
 def internal_links(links: DataFrame, cfg: ExtractConfig = DEFAULT) -> DataFrame:
@@ -109,9 +113,9 @@ def top_links(links: DataFrame, n: int = DEFAULT.links_per_page, cfg: ExtractCon
 
 
 def social_rules(spark: SparkSession, cfg: ExtractConfig = DEFAULT) -> DataFrame:
-    """The configured platforms as a rule table ``platform, domain``."""
+    """The configured platforms as a rule table ``platform, domain``, broadcast: it is as long as the setting."""
     rows = [(platform, domain) for platform, domains in cfg.social_domains for domain in domains]
-    return spark.createDataFrame(rows, "platform string, domain string")
+    return F.broadcast(spark.createDataFrame(rows, "platform string, domain string"))
 
 
 def social_table(links: DataFrame, rules: DataFrame) -> DataFrame:

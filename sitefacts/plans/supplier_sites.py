@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitefacts.functions.regex import unnest
 from sitefacts.sources.pages import as_pages, as_seeds
+from sitefacts.sources.storage import spread_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -172,7 +173,7 @@ def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     every = F.concat(fixed, news, F.transform("brands", brand_page))
     pages = (
-        unnest(sites, F.filter(every, lambda p: p["keep"]), "pos", "p")
+        unnest(spread_rows(sites), F.filter(every, lambda p: p["keep"]), "pos", "p")
         .select("k", "nation", "p.*")
         .select(
             (k * 1000 + F.col("number")).alias("page_id"),

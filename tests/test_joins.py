@@ -175,3 +175,23 @@ def test_contact_page_of_unclosed_links(spark):
     chain = "<div>" * 90 + "deep contact" + "</div>" * 90
     page = parse_pages(spark.createDataFrame([(f'<a href="/d">{chain}</a><a href="/e">contact<br></a><a href="/f">contact <!-- c --></a>',)], "html string"))
     assert [n.attrs["href"] for n in page.select(N.links_by_text(F.col("nodes"), "contact").alias("l")).first().l] == ["/d"]
+
+
+def test_rows_are_never_broadcast(spark, tmp_path):
+    """Spark knows no size of the rules and takes the written rows for small, whatever is made of them."""
+    spark.range(100).selectExpr("concat('k', id % 7) AS key", "id").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    rules = spark.createDataFrame([("k1", 1), ("k3", 2)], "key string, rule int")
+    met = salted_join(rows, rules, ["key"], F.col("id"))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    found = {(r["id"], r["rule"]) for r in met.collect()}
+    assert found == {(i, {1: 1, 3: 2}[i % 7]) for i in range(100) if i % 7 in (1, 3)}
+
+
+def test_bounded_rules_are_broadcast(spark, tmp_path):
+    spark.range(100).selectExpr("'x.com' AS domain", "id").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    met = salted_join(rows, L.social_rules(spark), ["domain"], F.col("id"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "SortMergeJoin" not in plan
+    assert met.count() == 100
