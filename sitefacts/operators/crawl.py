@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sitefacts.config import ExtractConfig
 from sitefacts.functions.regex import first, let, unnest
 from sitefacts.operators.links import walk_links
-from sitefacts.sources.storage import bucketed, cut_lineage
+from sitefacts.sources.storage import bucketed, cut_lineage, spread_tasks
 
 DEFAULT = ExtractConfig()
 
@@ -209,11 +209,14 @@ def crawl_attempts(
         no_pages.alias("known"),
     ).withColumn("wanted", F.transform("state.queue", lambda s: s["url"]))
     finished: list[DataFrame] = []
+    # a round works long on few bytes, so the size of its tasks isn't left to adaptive execution
+    tasks = spread_tasks(seeds, waves=1)
 
     for _ in range(_most_attempts(cfg) + 1):
         state = (
             state.join(answers(state, index, cfg, order), ["site", "seed"], "left")
             .select("site", "seed", "state", columns["looked_up"].alias("known"))
+            .repartition(tasks, "site", "seed")
             .select("site", "seed", columns["walked"].alias("state"), "known")
             .select("site", "seed", "state", columns["kept"].alias("known"), columns["wanted"].alias("wanted"))
         )

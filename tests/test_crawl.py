@@ -160,3 +160,10 @@ def test_bucketed_index_is_not_shuffled(spark):
     for r in sorted(attempts, key=lambda r: r.attempt):
         got.setdefault(r.site, []).append((r.url, r.depth, r.outcome))
     assert got == {s: simple_walk(p, seed, cfg, "dfs") for s, (seed, p) in sites.items()}
+
+
+def test_supplier_pages_are_built_on_all_cores(spark, testdata):
+    """Short site rows become long pages: adaptive execution would build them all in one task."""
+    from sitefacts.plans.supplier_sites import supplier_pages
+
+    assert supplier_pages(spark, testdata).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
