@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import TwoGenerations
+from sitefacts.llm.common import TwoGenerations, in_slices
 from sitefacts.sources.storage import staged
 
 #: Labelled rows that the classifier is fitted on, at most; those with the smallest hash of doc_id.
@@ -29,7 +29,8 @@ MOST_ROWS = 4000
 #: Rows of the vector table, its width, places that are not 0 in an index vector, words on each side.
 ROWS, WIDTH, PLACES, AROUND = 1 << 15, 64, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 64, 3e-3, 1e-4, 7
-CACHED = 150_000
+#: Stretches whose rows or sums a worker keeps, twice as many at most: 26 MB of sums.
+CACHED = 50_000
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
 _STEP = 200_000
 #: Row of the token that stands for "the same stretch again".
@@ -261,7 +262,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` to every row, from its whole text only; null and empty texts get the same score.
 
     All columns pass; a column named ``score`` is replaced. The model is broadcast: its size is fixed
-    by ROWS and WIDTH.
+    by ROWS and WIDTH. Rows leave the worker a few at a time, and one text at a time becomes Python's.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema if f.name != "score"]
@@ -269,10 +270,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = None
-        for batch in batches:
+        for batch in in_slices(batches):
             pool = pool or Pool(shared.value.vectors)
-            texts = batch.column("text").to_pylist()
-            x = np.array([pool.pooled(t) for t in texts]).reshape(-1, WIDTH + 1)
+            x = np.array([pool.pooled(t.as_py()) for t in batch.column("text")]).reshape(-1, WIDTH + 1)
             scores = pa.array(shared.value.probabilities(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,23 @@ def test_repeated_ids_teach_one_text(spark, words):
         got = quality.classify(docs, labels).join(docs.distinct(), "doc_id").select("doc_id", "score").distinct().collect()
         scores.append(sorted((r.doc_id, round(r.score, 9)) for r in got))
     assert scores[0] == scores[1]
+
+
+def test_rows_are_scored_a_few_at_a_time(spark, words, monkeypatch):
+    """What a worker holds beside a batch of rows is small: its sums, and the rows it hands on."""
+    held = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: held.append(run))
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(quality.ROWS, quality.WIDTH)).astype(np.float32)
+    layers = rng.normal(size=(quality.WIDTH + 1, 2)), np.zeros(2), np.ones(2), 0.0
+    model = quality.Model(vectors, np.zeros(quality.WIDTH + 1), np.ones(quality.WIDTH + 1), layers)
+    quality.score(spark.createDataFrame([], "doc_id long, text string"), model)
+    texts = [words(3, k) if k % 7 else None for k in range(2300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2300)), pa.array(texts)], names=["doc_id", "text"])
+    out = list(held[0](iter([batch, batch.slice(0, 0), batch.slice(10, 3)])))
+    assert max(b.num_rows for b in out) <= 500
+    got = pa.Table.from_batches(out)
+    assert got["doc_id"].to_pylist() == [*range(2300), 10, 11, 12] and got["text"].to_pylist() == texts + texts[10:13]
+    want = model.probabilities(np.array([quality.Pool(vectors).pooled(t) for t in texts[:50]]))
+    assert np.allclose(got["score"].to_pylist()[:50], want)
+    assert quality.Pool(vectors).sums.nbytes < 30_000_000
