@@ -20,11 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import block_cells, components
-from sitefacts.sources.storage import forget, staged
+from sitefacts.llm.common import block_cells, components, in_slices
+from sitefacts.sources.storage import bucketed, forget, staged
 
 #: Tokens that are known as frequent, at most: those that most documents hold. It only decides the order
 #: of tokens, which may be any; beyond it tokens count as rare and cost more comparisons.
@@ -34,6 +34,8 @@ MOST_MATCHES, VERIFY_COST, PREFIX_COST = 4, 20, 8
 #: Lists up to this size are joined pair by pair, longer ones by stars of bitmaps.
 SMALL_LIST = 16
 BITS = 2048
+#: Words of a bitmap that are compared first: parts of bitmaps differ in no more bits than the whole.
+HEAD = 8
 #: Partners of a member in the turns that unite what stars left apart; the last turn tries all pairs left.
 PARTNERS = (3, 12, None)
 #: Members of a list that are compared in one task; longer lists are compared by pairs of blocks.
@@ -43,23 +45,29 @@ VERIFY_BLOCKS = 16
 _FLUSH = 4_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_POPULAR = np.array([bin(x).count("1") for x in range(256)], np.uint16)
 
 
-def shingles(text: str | None, size: int = 3) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word shingles of a text, A-Z in lower case."""
+def shingles(text: str | bytes | None, size: int = 3) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of a text (bytes: UTF-8), A-Z in lower case."""
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
     # bytes split at exactly the blanks that separate words
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    words = data.translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     total = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
         total = (total ^ hashes[k : len(words) - size + 1 + k]) * _ODD[k % 3]
         total ^= total >> np.uint64(29)
-    return np.unique(total)
+    total.sort()
+    return total[np.append(True, total[1:] != total[:-1])]
+
+
+def distances(bits: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bits in which rows of bitmaps differ."""
+    return np.bitwise_count(bits ^ other).sum(axis=-1, dtype=np.int64)
 
 
 def needed(n: int, percent: int) -> int:
@@ -78,13 +86,16 @@ def frequent_tokens(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[n
         held, waiting, sets = [], 0, set()
 
         def tell() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 3
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            tokens = np.unique(every[2:][every[2:] == every[:-2]])
+            counts = np.searchsorted(every, tokens, side="right") - np.searchsorted(every, tokens)
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, size)
+            for text in batch.column(0).cast(pa.binary()):
+                tokens = shingles(text.as_py(), size)
                 mark = xxhash.xxh64_intdigest(tokens.tobytes())
                 if mark in sets or not len(tokens):
                     continue
@@ -93,7 +104,7 @@ def frequent_tokens(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[n
                 waiting += len(tokens)
                 if waiting >= _FLUSH:
                     yield tell()
-                    held, waiting, sets = [], 0, set()
+                    waiting, sets = 0, set()
         if held:
             yield tell()
 
@@ -111,10 +122,10 @@ def features(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        for batch in batches:
+        for batch in in_slices(batches):
             ns, marks, bits, prefixes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingles(text, size)
+            for text in batch.column(1).cast(pa.binary()):
+                tokens = shingles(text.as_py(), size)
                 n = len(tokens)
                 ns.append(n)
                 if not n:
@@ -130,7 +141,8 @@ def features(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarra
                 marks.append(xxhash.xxh128_digest(tokens.tobytes()))
                 parity = np.bincount((tokens >> np.uint64(17)).astype(np.int64) % BITS, minlength=BITS) & 1
                 bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
-                prefixes.append(tokens[np.lexsort((tokens, weight))[:keep]].view(np.int64))
+                # tokens ascend already
+                prefixes.append(tokens[np.argsort(weight, kind="stable")[:keep]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int64()), pa.array(marks, pa.binary()), pa.array(bits, pa.binary()),
                  pa.array(prefixes, pa.list_(pa.int64()))],
@@ -179,61 +191,120 @@ def listed(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, doc_id long, n long, pos long, size long")
 
 
-def small_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, shared) of lists up to SMALL_LIST, with how many of these they share; a < b.
+def matches(lists: DataFrame, percent: int) -> DataFrame:
+    """The entries (token, doc_id, n, size, asks) that each document uses, and how many shared ones it asks for.
+
+    A document's own number of matches comes from the lengths of the lists that its prefixes meet. Entries are
+    dealt by document once, for both.
+    """
+    own, document = Window.partitionBy("doc_id", "n"), Window.partitionBy("doc_id")
+    plain = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    met = lists.repartition("doc_id").select("token", "doc_id", "n", "pos", "size", *[
+        F.coalesce(F.sum(F.when(F.col("pos") < plain + m - 1, F.col("size"))).over(own), F.lit(0)).alias(f"s{m}")
+        for m in range(1, MOST_MATCHES + 1)
+    ])
+    cost = {m: PREFIX_COST * (m - 1) + F.col(f"s{m}") + VERIFY_COST * F.col(f"s{m}") / m for m in range(1, MOST_MATCHES + 1)}
+    # a set can't be asked for more shared tokens than it needs to link
+    enough_tokens = F.ceil(F.col("n") * percent / 100)
+    costs = [F.when(F.lit(m) <= enough_tokens, F.struct(c.alias("cost"), F.lit(m).alias("m"))) for m, c in cost.items()]
+    chosen = met.withColumn("matches", F.least(*costs)["m"])
+    asked = chosen.withColumn("asks", F.min("matches").over(document))
+    return asked.filter(F.col("pos") < plain + F.col("matches") - 1).select("token", "doc_id", "n", "size", "asks")
+
+
+def small_pairs(used: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share as many lists up to SMALL_LIST as they ask for; a < b.
 
     Sizes that differ too much to link are left out at once.
     """
-    entry = F.struct("doc_id", "n")
-    each = lists.filter(F.col("size") <= SMALL_LIST).groupBy("token").agg(F.sort_array(F.collect_list(entry)).alias("m"))
+    entry = F.struct("doc_id", "n", "asks")
+    each = used.filter(F.col("size") <= SMALL_LIST).groupBy("token").agg(F.sort_array(F.collect_list(entry)).alias("m"))
     pairs = F.flatten(
         F.transform("m", lambda x, i: F.transform(
             F.filter(
                 F.slice(F.col("m"), i + 2, F.size("m")),
                 lambda y: (x["doc_id"] < y["doc_id"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])),
             ),
-            lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")),
+            lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b"), F.least(x["asks"], y["asks"]).alias("asks")),
         ))
     )
-    return each.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+    shared = each.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"), F.min("p.asks").alias("asks"))
+    return shared.filter("shared >= asks").select("a", "b")
 
 
 def sieve(cells: DataFrame, percent: int, across: bool, partners: int | None = None, turn: int = 0) -> DataFrame:
-    """Pairs (a, b) of long lists that bitmaps can't tell apart.
+    """Pairs (a, b) of long lists that bitmaps can't tell apart, and the members of cells that may have more of them.
 
     By stars: a member is paired with the first one it may link to, and is no centre then. ``across``:
     instead, such pairs between members of different components, ``partners`` for each member and
     list, picked by a hash of the pair and ``turn``, or all of them.
+
+    Every other pair that bitmaps can't tell apart lies between two members of the cell that are returned
+    too, as rows of ``cells`` with ``left``. After stars these are the members of a star and what is so near its
+    centre that it may be near a member, by the triangle inequality; so a list without such pairs is done.
     """
+    columns = ["token", "cell_i", "cell_j", "cell_own", "doc_id", "n"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n", "doc_id"], ignore_index=True)
         ids, n, own = (part[c].to_numpy() for c in ("doc_id", "n", "cell_own"))
         group = part["component"].to_numpy()
-        bits = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
+        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(len(part), -1)
+        head = np.ascontiguousarray(bits[:, :HEAD].T)
         i, j = int(part["cell_i"].iloc[0]), int(part["cell_j"].iloc[0])
-        free = np.ones(len(part), bool)
+        free, more = np.ones(len(part), bool), np.zeros(len(part), bool)
         found = []
+
+        def closest(k: int, start: int, end: int, size: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+            """Members from start to end whose bitmaps are apart by ``radius`` more than a link to ``size`` allows, or less."""
+            # |A xor B| <= (n + m) (1 - t) / (1 + t)
+            first = np.bitwise_count(head[:, start:end] ^ head[:, k, None]).sum(axis=0, dtype=np.uint16)
+            at = start + np.flatnonzero(first <= (n[start:end] + size) * ((100 - percent) / (100 + percent)) + radius + 0.5)
+            apart = distances(bits[at], bits[k])
+            close = (apart - radius) * (100 + percent) <= (n[at] + size) * (100 - percent)
+            return at[close], apart[close]
+
         for k in range(len(part)):
             if not across and not free[k]:
                 continue
             end = int(np.searchsorted(n, 100 * n[k] // percent, side="right"))
-            others = np.arange(k + 1, end)
-            met = (np.minimum(own[others], own[k]) == i) & (np.maximum(own[others], own[k]) == j)
-            others = others[met & (ids[others] != ids[k]) & (group[others] != group[k] if across else free[others])]
-            if not len(others):
+            near, apart = closest(k, k + 1, end, n[k], 0)
+            met = (np.minimum(own[near], own[k]) == i) & (np.maximum(own[near], own[k]) == j)
+            met &= (ids[near] != ids[k]) & (group[near] != group[k] if across else free[near])
+            near, apart = near[met], apart[met]
+            if not len(near):
                 continue
-            apart = _POPULAR[bits[others] ^ bits[k]].sum(axis=1)
-            # |A xor B| <= (n + m) (1 - t) / (1 + t)
-            near = others[apart * (100 + percent) <= (n[others] + n[k]) * (100 - percent)]
-            free[near] = False
-            if partners is not None and len(near) > partners:
+            if not across:
+                free[near] = False
+                around, _ = closest(k, 0, len(part), n[near].max(), int(apart.max()))
+                around = around[around != k]
+                if len(around) > 1:
+                    more[around] = True
+            elif partners is not None and len(near) > partners:
                 mixed = ((ids[near] + ids[k]) * (2 * turn + 1) * 0x9E3779B1 ^ (ids[near] ^ ids[k]) * 0x85EBCA6B) & 0x7FFFFFFF
-                near = near[np.argpartition(mixed, partners)[:partners]]
+                order = np.argpartition(mixed, partners)
+                more[k] = more[near[order[partners:]]] = True
+                near = near[order[:partners]]
             found += [(min(ids[k], x), max(ids[k], x)) for x in ids[near].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        pairs = pd.DataFrame(found, columns=["a", "b"], dtype="int64").assign(left=False, **dict.fromkeys(columns, 0))
+        rest = part.loc[more, columns].drop_duplicates().assign(left=True, a=0, b=0)
+        return pd.concat([x[["left", "a", "b", *columns]] for x in (pairs, rest) if len(x)] or [rest[["left", "a", "b", *columns]]])
+
+    return cells.groupBy("token", "cell_i", "cell_j").applyInPandas(
+        run, "left boolean, a long, b long, token long, cell_i int, cell_j int, cell_own int, doc_id long, n long"
+    )
 
-    return cells.groupBy("token", "cell_i", "cell_j").applyInPandas(run, "a long, b long").distinct()
+
+def sieved(cells: DataFrame, percent: int, across: bool, partners: int | None = None, turn: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``sieve`` tells, staged; its pairs; and the members of its cells that are left."""
+    told = staged(sieve(cells, percent, across, partners, turn), "sieved")
+    return told, told.filter("NOT left").select("a", "b").distinct(), told.filter("left").drop("left", "a", "b")
+
+
+def with_bitmaps(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Cells with the bitmaps of their members. Joined by doc_id alone, by which ``sets`` are dealt; n only has to fit."""
+    own = sets.select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"), "bits")
+    return cells.join(own, (F.col("doc_id") == F.col("__id")) & F.col("n").between(F.col("__n"), F.col("__n"))).drop("__id", "__n")
 
 
 def close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -244,10 +315,9 @@ def close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("bitsa", "bitsb"))
-                apart = _POPULAR[x ^ y].sum(axis=1)
+                x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("bitsa", "bitsb"))
                 bound = (batch["na"] + batch["nb"]).to_numpy() * (100 - percent)
-                yield batch.loc[apart * (100 + percent) <= bound, ["a", "b"]]
+                yield batch.loc[distances(x, y) * (100 + percent) <= bound, ["a", "b"]]
 
     return both.mapInPandas(run, "a long, b long").distinct()
 
@@ -263,11 +333,14 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     texts = own.join(ids.select("id"), own["doc_id"] == ids["id"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
+        for batch in in_slices(batches):
+            sets = [shingles(t.as_py(), size).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    sets = staged(texts.mapInArrow(run, "id long, tokens binary").dropDuplicates(["id", "tokens"]), "sets")
+    # sets are dealt by id once, and so they stay for both joins
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(run, "id long, tokens binary").repartition(parts, "id").dropDuplicates(["id", "tokens"])
+    sets = bucketed(dealt, "sets", ["id"], buckets=parts, dealt=True)
     times = [ids.select(F.col("id").alias(c), F.col("times").alias(f"n{c}")) for c in "ab"]
     turned = pairs.join(times[0], "a").join(times[1], "b")
     swap = F.struct("na", "a") < F.struct("nb", "b")
@@ -276,7 +349,7 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     blocks = turned.select(F.col("centre").alias("id"), "block").distinct()
     centres = blocks.join(sets, "id").select(
         F.col("id").alias("of"), F.col("block").alias("part"), F.col("tokens").alias("set")
-    )
+    ).repartition("of", "part")
     others = turned.join(sets.withColumnRenamed("id", "other"), "other").select("centre", "block", "other", "tokens")
 
     def linked(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
@@ -320,51 +393,42 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     # 100 / (100 - percent) shingles together
     least = needed(-(-100 // max(1, 100 - percent)), percent) if percent < 100 else sys.maxsize
     later = marked.select("doc_id", "mark").join(firsts.filter("copies > 1"), "mark").filter("doc_id != first")
-    single = marked.filter(F.col("n") >= least).join(
+    # dealt by doc_id once, and joined by it alone (mark only has to fit): bitmaps stay where they are in later joins
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    single = marked.filter(F.col("n") >= least).repartition(parts, "doc_id").join(
         later.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")),
-        (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left_anti",
+        (F.col("doc_id") == F.col("__id")) & F.col("mark").between(F.col("__mark"), F.col("__mark")), "left_anti",
     )
-    single = staged(single.select("doc_id", "n", "bits", "prefix"), "single")
+    single = bucketed(single.select("doc_id", "n", "bits", "prefix"), "single", ["doc_id"], buckets=parts, dealt=True)
     forget(all_rows, firsts)
     lists = staged(listed(single.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))), "lists")
 
-    # each document's own number of matches, from the lengths of the lists that its prefixes meet
-    plain = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    sums = lists.groupBy("doc_id", "n").agg(
-        *[F.coalesce(F.sum(F.when(F.col("pos") < plain + m - 1, F.col("size"))), F.lit(0)).alias(f"s{m}") for m in range(1, MOST_MATCHES + 1)]
-    )
-    cost = {m: PREFIX_COST * (m - 1) + F.col(f"s{m}") + VERIFY_COST * F.col(f"s{m}") / m for m in range(1, MOST_MATCHES + 1)}
-    # a set can't be asked for more shared tokens than it needs to link
-    enough_tokens = F.ceil(F.col("n") * percent / 100)
-    costs = [F.when(F.lit(m) <= enough_tokens, F.struct(c.alias("cost"), F.lit(m).alias("m"))) for m, c in cost.items()]
-    chosen = staged(sums.select("doc_id", "n", F.least(*costs)["m"].alias("matches")), "matches")
-    used = lists.join(chosen.select("doc_id", "n", "matches"), ["doc_id", "n"]).filter(F.col("pos") < plain + F.col("matches") - 1)
-    used = staged(used.select("token", "doc_id", "n", "size"), "used")
-
-    asks = chosen.groupBy("doc_id").agg(F.min("matches").alias("matches"))
-    shared = small_pairs(used, percent)
-    enough = shared.join(asks.select(F.col("doc_id").alias("a"), F.col("matches").alias("ma")), "a").join(
-        asks.select(F.col("doc_id").alias("b"), F.col("matches").alias("mb")), "b"
-    ).filter(F.col("shared") >= F.least("ma", "mb")).select("a", "b")
-    enough = close_bitmaps(enough, single.select("doc_id", "n", "bits"), percent)
+    used = staged(matches(lists, percent), "used")
+    enough = close_bitmaps(small_pairs(used, percent), single.select("doc_id", "n", "bits"), percent)
     bitmaps = single.select("doc_id", "n", "bits")
     # members of long lists without their bitmaps, which only follow where members are compared
-    cells = staged(block_cells(used.filter(F.col("size") > SMALL_LIST).drop("size"), "token", "doc_id", BLOCK), "cells")
-    stars = sieve(cells.join(bitmaps, ["doc_id", "n"]).withColumn("component", F.col("doc_id")), percent, across=False)
+    cells = staged(block_cells(used.filter(F.col("size") > SMALL_LIST).drop("size", "asks"), "token", "doc_id", BLOCK), "cells")
+    told, stars, open_cells = sieved(
+        with_bitmaps(cells, bitmaps).withColumn("component", F.col("doc_id")), percent, across=False
+    )
     tried = staged(enough.unionByName(stars).distinct(), "pairs")
-    forget(lists, used, chosen)
+    forget(lists, used, cells)
     links = staged(verify(docs, tried, size, percent).unionByName(copies), "links")
     united = staged(components(vertices, links), "components")
     # what stars left open: pairs of one list in different components. A few partners for each member
     # first, which unite most of a large group; the last turn leaves no pair out. A list that is one
-    # component stays one, so each turn looks at what the last one left open only.
+    # component stays one, and one of which all pairs were tried is done, so each turn looks at what the
+    # last one left open only.
     for turn, partners in enumerate(PARTNERS):
-        met = staged(cells.join(united.withColumnRenamed("id", "doc_id"), "doc_id"), "met")
-        open_lists = met.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        left = staged(met.join(open_lists.select("token"), "token", "left_semi"), "open")
-        forget(cells, met)
-        cells = left.drop("component")
-        rest = sieve(left.join(bitmaps, ["doc_id", "n"]), percent, True, partners, turn)
+        met = staged(open_cells.join(united.withColumnRenamed("id", "doc_id"), "doc_id"), "met")
+        forget(told)
+        if met.isEmpty():
+            break
+        cell = ["token", "cell_i", "cell_j"]
+        several = met.groupBy(*cell).agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+        left = met.join(several.select(*cell), cell, "left_semi")
+        told, rest, open_cells = sieved(with_bitmaps(left, bitmaps), percent, True, partners, turn)
+        forget(met)
         rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             continue

@@ -100,3 +100,39 @@ def test_equal_sets_only(spark, make_docs, words):
     docs = make_docs([(1, words(40, 1)), (2, words(40, 1)), (3, words(40, 1) + " more"), (4, words(5, 2)), (5, words(5, 2).upper())])
     got = {r.doc_id: r.component_id for r in ngram_join.classes(docs, percent=100).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_sieve_leaves_only_what_it_did_not_tell(spark, blocks):
+    """Pairs near by bitmaps are told or lie between members that are left; a list without such pairs is done."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for token in range(6):
+        maps = rng.random((24, ngram_join.BITS)) < 0.2
+        for k in range(1, 24 if token < 5 else 1):
+            if k % (token + 1) and token:  # chains of near bitmaps, but none in the first and the last list
+                maps[k] = maps[k - 1]
+                maps[k, rng.integers(0, ngram_join.BITS, 12)] ^= True
+        for k, x in enumerate(maps):
+            own = k % blocks
+            rows += [
+                (token + 2**62, min(own, o), max(own, o), own, 100 * token + k, 500 + k, bytearray(np.packbits(x).tobytes()), 100 * token + k)
+                for o in range(blocks)
+            ]
+    cells = spark.createDataFrame(rows, "token long, cell_i int, cell_j int, cell_own int, doc_id long, n long, bits binary, component long")
+    near, bits = set(), {r[4]: (r[5], np.unpackbits(np.frombuffer(bytes(r[6]), np.uint8)), r[0]) for r in rows}
+    for a, (n, x, list_a) in bits.items():
+        near |= {(a, b) for b, (m, y, list_b) in bits.items() if a < b and list_a == list_b and (x != y).sum() * 190 <= (n + m) * 10}
+    assert near
+    for across, partners in ((False, None), (True, 1), (True, None)):
+        got = ngram_join.sieve(cells, 90, across, partners).collect()
+        told = {(r.a, r.b) for r in got if not r.left}
+        left = {(r.token, r.cell_i, r.cell_j, r.doc_id) for r in got if r.left}
+        assert told <= near and all(r.token >= 2**62 for r in got if r.left)
+        cell = {a: [(r[0], r[1], r[2]) for r in rows if r[4] == a] for a in bits}
+        for a, b in near - told:
+            own = [c for c in cell[a] if c in cell[b] and {a % 100 % blocks, b % 100 % blocks} == {c[1], c[2]}]
+            assert own and all((*c, a) in left and (*c, b) in left for c in own)
+        assert not {t - 2**62 for t, *_ in left} & {0, 5}
+        assert across and partners is None or len(left) > 0
+    assert told == near and not left
