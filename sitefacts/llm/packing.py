@@ -10,11 +10,12 @@ are dealt to shards of a few thousand by a hash, and shards are packed side by s
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,12 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitefacts.llm.common import TwoGenerations
 from sitefacts.llm.token_counts import byte_letters
 from sitefacts.sources.storage import staged
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED = 250_000
 #: Id that follows every document.
 SEPARATOR = 1
 #: Remainders that are packed together. Larger shards waste a little less, smaller ones spread further.
@@ -39,17 +38,18 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = f"{_PIECE}, sequence_id long, offset long"
 
 
-class WordEncoder:
-    """Ids of byte-level texts, word by word, as little-endian 32-bit bytes.
+class TextEncoder:
+    """Ids of byte-level texts as little-endian 32-bit bytes.
 
-    Words (a stretch up to the next blank, that blank in front) repeat, so their ids are cached; texts
-    where a cut at blanks could differ from the vocabulary's own split are split as a whole.
+    Nothing that grows with the texts is kept, so a worker that is used again by other stages stays small.
     """
 
-    _ROWS = regex.compile(r"[^\S \n]")
+    #: The splitter steps back over a run of blanks on a stack that holds this many for certain.
+    _BLANKS = 100_000
+    _RUN = re.compile(r"\s+")
 
-    def __init__(self, path: str, cached: int = CACHED):
-        self.whole = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -59,22 +59,15 @@ class WordEncoder:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
         if [vocab["".join(p)] for p in pairs] != list(range(256, 256 + len(merges))):
             raise ValueError(f"{path}: ids are not in the order of the merges")
-        self.pieces = tiktoken.Encoding(
+        pieces = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.single = self.pieces._core_bpe.encode_single_piece
+        self.core = pieces._core_bpe
         self.split = regex.compile(public_tokenizers.PATTERN)
-        self.words = TwoGenerations(self._word, cached)
-        self.stretches = TwoGenerations(self._stretch, cached)
 
-    def _word(self, word: str) -> bytes:
-        ids = array("I", self.single(word.encode()))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _stretch(self, stretch: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split.findall(stretch)))
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -85,16 +78,20 @@ class WordEncoder:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text or "\n " in text or text[-1] == " " or self._ROWS.search(text):
-            return self._stretch(text)
-        if "\0" in text:
-            return self._stretch(text)
-        return b"".join(map(self.stretches.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        if len(text) > self._BLANKS and any(m.end() - m.start() > self._BLANKS for m in self._RUN.finditer(text)):
+            ids = array("I")
+            for word in self.split.findall(text):
+                ids.extend(self.core.encode_single_piece(word.encode()))
+        else:
+            ids = array("I", self.core.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str = VOCABULARY) -> WordEncoder:
-    return WordEncoder(public_tokenizers.path(name))
+def encoder(name: str = VOCABULARY) -> TextEncoder:
+    return TextEncoder(public_tokenizers.path(name))
 
 
 def cut_documents(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:

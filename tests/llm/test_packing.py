@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,3 +61,27 @@ def test_rows_without_an_id_spread_over_shards(spark, make_docs):
     assert len(rows) == 600 and len(shards) == 15 and max(shards.values()) < 80
     of_null = Counter(r.sequence_id >> 32 for r in rows if r.doc_id is None)
     assert len(of_null) >= 14
+
+
+def test_ids_are_the_vocabulary_s_own():
+    """Any byte-level text, marks that look special and long runs of blanks included."""
+    own, rng = packing.encoder(), random.Random(5)
+    pools = ["".join(map(chr, range(256))), " \t\n\r\x0b\x1c\x85\xa0aB1'!", "'sStTreREvml ldD a\0<|", "aé 中 "]
+    texts = ["".join(rng.choices(pools[k % 4], k=rng.randint(0, 30))) for k in range(2000)]
+    texts += ["a<|endoftext|>b", "x" + " " * 150_000 + "y", "\t" * 2_000_000 + "a", "a" * 5000]
+    for text in texts:
+        assert own.encode(text) == np.array(own.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_an_encoder_keeps_nothing_of_the_texts():
+    """A worker serves other stages later: what it keeps must not grow with what it has read."""
+    own = packing.encoder()
+    tracemalloc.start()
+    try:
+        own.encode("warm up")
+        before = tracemalloc.get_traced_memory()[0]
+        for k in range(0, 100_000, 1000):
+            own.encode(" ".join(f"w{k + i:x}q" for i in range(1000)))
+        assert tracemalloc.get_traced_memory()[0] - before < 1_000_000
+    finally:
+        tracemalloc.stop()
