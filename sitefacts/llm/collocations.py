@@ -46,21 +46,32 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(keys)]]))
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of keys from 0 on. Key and place are sorted as one number where they fit, which is much faster."""
+    bits = max(len(keys) - 1, 0).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    both = keys.astype(np.int64) << bits
+    both |= np.arange(len(keys))
+    both.sort()
+    return both & ((1 << bits) - 1)
+
+
 def _context_order(ids: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``ids`` ordered by the ``depth`` numbers from there on; 0 stands behind the end."""
-    _, rank = np.unique(ids, return_inverse=True)
-    known = 1
-    order = np.argsort(rank, kind="stable")
+    rank, known = ids, 1
+    order = _order(rank) if depth == 1 else None
     while known < depth:
         step = min(known, depth - known)
         later = np.zeros(len(ids), np.int64)
         later[: len(ids) - step] = rank[step:] + 1
-        key = rank.astype(np.int64) * (len(ids) + 2) + later
-        order = np.argsort(key, kind="stable")
-        starts, sizes = _runs(key[order])
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.repeat(np.arange(len(starts)), sizes)
+        key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 2) + later
+        order = _order(key)
         known += step
+        if known < depth:
+            starts, sizes = _runs(key[order])
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.repeat(np.arange(len(starts)), sizes)
     return order
 
 
@@ -71,7 +82,7 @@ class _Side:
         self.places = _context_order(ids, depth)
         self.before = np.where(self.places > 0, ids[self.places - 1], 0)
         self.to_first = np.empty(len(ids), np.int64)
-        self.to_first[np.argsort(self.before, kind="stable")] = np.arange(len(ids))
+        self.to_first[_order(self.before)] = np.arange(len(ids))
 
 
 class Nodes:
@@ -116,15 +127,15 @@ class PhraseIndex:
         side = self.behind if right else self.ahead
         own, other = (nodes.end, nodes.begin) if right else (nodes.begin, nodes.end)
         node = np.repeat(np.arange(len(nodes)), nodes.size)
-        inside = np.arange(len(node)) - np.repeat(np.cumsum(nodes.size) - nodes.size, nodes.size)
-        at = np.repeat(own, nodes.size) + inside
+        before = np.cumsum(nodes.size) - nodes.size
+        at = np.repeat(own - before, nodes.size) + np.arange(len(node))
         key = node * (int(self.ids.max(initial=0)) + 1) + side.before[at]
-        order = np.argsort(key, kind="stable")
+        order = _order(key)
         starts, sizes = _runs(key[order])
         head = order[starts]
         child = node[head]
         own_new = side.to_first[at[head]]
-        other_new = other[child] + starts - np.searchsorted(node, child)
+        other_new = other[child] + starts - before[child]
         real = side.before[at[head]] > 0
         begin, end = (other_new, own_new) if right else (own_new, other_new)
         return child[real], begin[real], end[real], sizes[real]
@@ -139,7 +150,7 @@ class PhraseIndex:
         for _ in range(length - 1):
             first, begin, end, size = self.extend(nodes)
             last, same, _, _ = self.extend(nodes, right=False)
-            a, b = np.argsort(begin), np.argsort(same)
+            a, b = _order(begin), _order(same)
             nodes = Nodes(begin[a], end[a], size[a], first[a], last[b])
         return nodes
 
@@ -157,11 +168,16 @@ def keep_alive(ids: np.ndarray, length: int, alive: np.ndarray) -> tuple[np.ndar
         _, nodes_at = np.unique(nodes_at, return_inverse=True)
         places[np.flatnonzero(ids > 0)] = nodes_at
     elif len(ids):
-        index = PhraseIndex(ids, length)
-        nodes = index.phrases(length)
-        inside = np.arange(nodes.size.sum()) - np.repeat(np.cumsum(nodes.size) - nodes.size, nodes.size)
-        rows = np.repeat(nodes.begin, nodes.size) + inside
-        places[index.ahead.places[rows] - 1] = np.repeat(np.arange(len(nodes)), nodes.size)
+        # the forward order alone tells which places begin the same phrase
+        padded = np.concatenate([ids, np.zeros(length, ids.dtype)])
+        begins = _context_order(ids, length)
+        real, first = np.ones(len(ids), bool), np.zeros(len(ids), bool)
+        first[0] = True
+        for k in range(length):
+            word = padded[begins + k]
+            real &= word > 0
+            first[1:] |= word[1:] != word[:-1]
+        places[begins[real]] = np.cumsum(first[real]) - 1
     wanted = np.zeros(max(int(places.max()), int(alive.max(initial=0))) + 2, bool)
     wanted[alive] = True
     on = (places >= 0) & wanted[places]

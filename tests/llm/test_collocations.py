@@ -119,3 +119,22 @@ def test_large_products(spark):
         f"div (CAST({left} AS decimal(19,0)) * CAST({right} AS decimal(19,0))) AS score"
     ).first()
     assert row.score == 1000 * a * n // (left * right)
+
+
+def test_order_of_keys(monkeypatch):
+    """Stable, and sorted as single numbers, without an argsort, where key and place fit one."""
+    rng = np.random.default_rng(3)
+    for most, size in ((1, 0), (1, 1), (3, 1000), (1 << 40, 5000), (1 << 61, 5000)):
+        keys = rng.integers(0, most, size)
+        keys = np.concatenate([keys, keys[: size // 2]])
+        assert (C._order(keys) == np.argsort(keys, kind="stable")).all()
+    monkeypatch.setattr(C.np, "argsort", None)
+    assert C._order(np.array([2, 0, 2, 1])).tolist() == [1, 3, 0, 2]
+    assert C.PhraseIndex(np.array([1, 2, 1, 2]), 3).phrases(2).size.tolist() == [2, 1]
+
+
+def test_a_shard_is_reduced_without_a_second_index(monkeypatch):
+    """What a shard drops is seen from its forward order; the index of the next length is the only one built."""
+    monkeypatch.setattr(C, "PhraseIndex", None)
+    ids, left = C.keep_alive(np.array([1, 2, 3, 0, 2, 3, 1, 2]), 2, np.array([0, 1]))
+    assert ids.tolist() == [1, 2, 3, 0] and left.tolist() == [0, 1]
