@@ -31,10 +31,14 @@ ROWS, WIDTH, PLACES, AROUND = 1 << 15, 64, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 64, 3e-3, 1e-4, 7
 #: Stretches whose rows or sums a worker keeps, twice as many at most: 26 MB of sums.
 CACHED = 50_000
+#: New stretches that are summed at once, and tokens up to which a stretch is summed with the others.
+_AT_ONCE, _SHORT = 4096, 8
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
 _STEP = 200_000
 #: Row of the token that stands for "the same stretch again".
 AGAIN = zlib.crc32(b"\0again") % ROWS
+#: Rows of the case patterns: all upper case, all lower case, digits, anything else.
+_UPPER, _LOWER, _DIGITS, _MIXED = (zlib.crc32(f"\0{case}".encode()) % ROWS for case in ("A", "a", "1", "Aa"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,10 +59,11 @@ def index_vectors() -> np.ndarray:
 def word_rows(chunk: str) -> tuple[int, ...]:
     """Rows of the tokens in a stretch without white space: words in lower case with their case pattern, and marks."""
     rows = []
-    for token in _TOKEN.findall(chunk):
+    # most stretches are one word, which needs no pattern
+    for token in (chunk,) if chunk.isalnum() else _TOKEN.findall(chunk):
         if token[0].isalnum():
-            case = "A" if token.isupper() else "a" if token.islower() else "1" if token.isdigit() else "Aa"
-            rows += [zlib.crc32(token.lower().encode("utf-8", "replace")) % ROWS, zlib.crc32(f"\0{case}".encode()) % ROWS]
+            case = _LOWER if token.islower() else _UPPER if token.isupper() else _DIGITS if token.isdigit() else _MIXED
+            rows += (zlib.crc32(token.lower().encode("utf-8", "replace")) % ROWS, case)
         else:
             rows.append(zlib.crc32(token.encode("utf-8", "replace")) % ROWS)
     return tuple(rows)
@@ -93,13 +98,24 @@ class Pool:
         self.free = 0
         self.places: dict[str, int] = {}
 
-    def _place(self, chunk: str) -> int:
-        rows = word_rows(chunk)
-        place, self.free = self.free, self.free + 1
-        self.sums[place, :WIDTH] = self.vectors[list(rows)].sum(0)
-        self.sums[place, WIDTH] = len(rows)
-        self.places[chunk] = place
-        return place
+    def _keep(self, new: list[str]) -> None:
+        """Sum different stretches that have no place yet, many at once; each adds up its own tokens in order."""
+        for at in range(0, len(new), _AT_ONCE):
+            part = new[at : at + _AT_ONCE]
+            rows = [word_rows(c) for c in part]
+            lengths = np.array([len(r) for r in rows])
+            flat = np.array([r for each in rows for r in each])
+            starts = lengths.cumsum() - lengths
+            sums = self.vectors[flat[starts]]
+            for k in range(1, min(int(lengths.max()), _SHORT)):
+                more = np.flatnonzero(lengths > k)
+                sums[more] += self.vectors[flat[starts[more] + k]]
+            for k in np.flatnonzero(lengths > _SHORT):
+                sums[k] = self.vectors[list(rows[k])].sum(0)
+            first, self.free = self.free, self.free + len(part)
+            self.sums[first : self.free, :WIDTH] = sums
+            self.sums[first : self.free, WIDTH] = lengths
+            self.places.update(zip(part, range(first, self.free), strict=True))
 
     def pooled(self, text: str | None) -> np.ndarray:
         """Mean vector and log of the number of tokens; zeros for empty texts."""
@@ -111,10 +127,12 @@ class Pool:
             if self.free + len(part) > len(self.sums):
                 self.free = 0
                 self.places.clear()
-            get, place = self.places.get, self._place
-            where = [p if (p := get(c)) is not None else place(c) for c in part]
-            total += self.sums[where].sum(0, dtype=np.float64)
+            where = [*map(self.places.get, part)]
+            if None in where:
+                self._keep([*dict.fromkeys(c for c, p in zip(part, where, strict=True) if p is None)])
+                where = [*map(self.places.get, part)]
             places = np.array(where)
+            total += self.sums[places].sum(0, dtype=np.float64)
             again += int((places[1:] == places[:-1]).sum()) + (at > 0 and chunks[at] == chunks[at - 1])
         total[:WIDTH] += again * self.vectors[AGAIN]
         total[WIDTH] += again

@@ -1,4 +1,6 @@
 import random
+import re
+import sys
 import zlib
 
 import numpy as np
@@ -114,3 +116,52 @@ def test_rows_are_scored_a_few_at_a_time(spark, words, monkeypatch):
     want = model.probabilities(np.array([quality.Pool(vectors).pooled(t) for t in texts[:50]]))
     assert np.allclose(got["score"].to_pylist()[:50], want)
     assert quality.Pool(vectors).sums.nbytes < 30_000_000
+
+
+def plain_rows(chunk):
+    """Rows of a stretch by the token pattern alone."""
+    rows = []
+    for token in re.findall(r"[^\W_]+|[\W_]+", chunk):
+        if token[0].isalnum():
+            case = "A" if token.isupper() else "a" if token.islower() else "1" if token.isdigit() else "Aa"
+            rows += [token.lower(), f"\0{case}"]
+        else:
+            rows.append(token)
+    return tuple(zlib.crc32(r.encode("utf-8", "replace")) % quality.ROWS for r in rows)
+
+
+def test_one_word_needs_no_pattern():
+    assert all(chr(k).isalnum() == bool(re.match(r"[^\W_]", chr(k))) for k in range(sys.maxunicode + 1))
+    rng = random.Random(4)
+    chunks = ["".join(rng.choices("aZ\u00df\u01c5\u03a3\u0130_-.$19\u2460\u00b2\u4e2d\u0301\ud800\U0001f600", k=rng.randint(1, 6))) for _ in range(5000)]
+    for chunk in [*chunks, "word", "WORD", "Word", "42", "4th", "\u2163", "_", "_a_"]:
+        assert quality.word_rows(chunk) == plain_rows(chunk)
+
+
+def test_new_stretches_are_summed_together(words, monkeypatch):
+    """Sums are those of one stretch at a time to the bit, but vectors are fetched for many stretches at once."""
+    monkeypatch.setattr(quality, "CACHED", 300)
+    fetched = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            fetched.append(key)
+            return np.asarray(super().__getitem__(key))
+
+    vectors = np.random.default_rng(3).normal(size=(quality.ROWS, quality.WIDTH)).astype(np.float32)
+    pool = quality.Pool(vectors.view(Counted))
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randrange(400)}{rng.choice(['', '.', '-x', '.y' * 6])}" for _ in range(n)) for n in (1, 7, 250, 900, 40)]
+    for text in [*texts, " ".join(["same"] * 700), "", None]:
+        chunks = (text or "").split()
+        sums = [vectors[list(plain_rows(c))].sum(0) for c in chunks]
+        want = np.zeros(quality.WIDTH)
+        for at in range(0, len(chunks), 300):
+            want += np.array(sums[at : at + 300]).sum(0, dtype=np.float64)
+        again = sum(a == b for a, b in zip(chunks, chunks[1:], strict=False))
+        want += again * vectors[quality.AGAIN]
+        count = sum(len(plain_rows(c)) for c in chunks) + again
+        assert pool.pooled(text).tolist() == [*(want / max(count, 1)), np.log1p(count)]
+    fetched.clear()
+    pool.pooled(" ".join(f"n{k}." for k in range(300)))
+    assert len(fetched) < 20
